@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segno.llm.bpe import encode_corpus
+from segno.llm.lookalike import disguised_names
 from segno.llm.runs import repeated_plays
 from segno.llm.together import artists_together
 from segno.llm.top_n import top_artists_by_month
 from segno.sources.tables import table
 
+#: Where the public vocabulary file lies on this machine; a parameter of p8_ids.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def p1_runs(spark: SparkSession, d: str) -> DataFrame:
     return repeated_plays(table(spark, d, "plays"), table(spark, d, "artists"))
@@ -31,5 +36,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return top_artists_by_month(table(spark, d, "plays"), table(spark, d, "artists")).select("username", "play_month", "place", "artist_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_pairs": p2_pairs, "p6_found": p6_found}
+def p4_names(spark: SparkSession, d: str) -> DataFrame:
+    return disguised_names(table(spark, d, "plays"), table(spark, d, "releases"), table(spark, d, "critic_lists"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_names(spark, d).select("source_table", "row_id", "item_no")
+
+
+def p8_ids(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"), vocabulary)
+
+
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_names": p4_names, "p6_found": p6_found, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
