@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segno.llm.bpe import encode_corpus
+from segno.llm.leaks import find_leaks
 from segno.llm.lookalike import disguised_names
 from segno.llm.runs import repeated_plays
 from segno.llm.together import artists_together
@@ -48,5 +49,13 @@ def p8_ids(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFra
     return encode_corpus(table(spark, d, "documents"), vocabulary)
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_names": p4_names, "p6_found": p6_found, "p8_ids": p8_ids}
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_names": p4_names, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
 SQL: dict[str, str] = {}
