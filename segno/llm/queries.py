@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segno.llm.bpe import encode_corpus
+from segno.llm.language import fit, language_stretches, page_languages, wrong_labels
 from segno.llm.leaks import find_leaks
 from segno.llm.lookalike import disguised_names
 from segno.llm.runs import repeated_plays
@@ -57,5 +58,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_names": p4_names, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
+def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return language_stretches(documents, fit(documents))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return wrong_labels(page_languages(p10_stretches(spark, d))).select("doc_id", "lang")
+
+
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_names": p4_names, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_stretches": p10_stretches}
 SQL: dict[str, str] = {}
