@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segno.operators.ordered import by_entity, in_order, stitch
@@ -131,3 +131,52 @@ def cut_tree(tree: DataFrame, gap: int) -> DataFrame:
 def sessions(events: DataFrame, entity: str, time: str, gap: int = 1800) -> DataFrame:
     """(entity, start_ts, end_ts, n_events, duration) of each session, also those of one event."""
     return cut_tree(gap_tree(events, entity, time), gap)
+
+
+def assign_sessions(events: DataFrame, entity: str, time: str, gap: int = 1800, tie: str | None = None, chunk: int = 86_400) -> DataFrame:
+    """``events`` with ``session_start``, the time of the first event of each row's session, by built-in expressions only.
+
+    Windows run over an entity's days, so that a hot entity is many small
+    groups; what a day takes over from the days before comes from a table of
+    one row per entity and day.  Rows without entity or time are left out.
+    """
+    order = [time, *([tie] if tie else [])]
+    day = (F.col(time) / chunk).cast("bigint")
+    w = Window.partitionBy(entity, "_day").orderBy(*order)
+    rows = events.where(F.col(entity).isNotNull() & F.col(time).isNotNull()).withColumn("_day", day).withColumn("_before", F.lag(time).over(w))
+    over_days = Window.partitionBy(entity).orderBy("_day")
+    ends = rows.groupBy(entity, "_day").agg(F.max(time).alias("_end")).select(entity, "_day", F.lag("_end").over(over_days).alias("_day_before"))
+    before = F.coalesce("_before", "_day_before")
+    begun = rows.join(ends, [entity, "_day"]).withColumn("_new", F.when(before.isNull() | (F.col(time) - before > gap), F.col(time)))
+    begun = begun.withColumn("_start", F.last("_new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    carried = begun.groupBy(entity, "_day").agg(F.max("_new").alias("_s")).select(entity, "_day", F.last("_s", ignorenulls=True).over(over_days.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    joined = begun.join(carried, [entity, "_day"])
+    return joined.withColumn("session_start", F.coalesce("_start", "_carried")).drop("_day", "_before", "_day_before", "_new", "_start", "_carried")
+
+
+def session_stats(events: DataFrame, entity: str, time: str, gap: int = 1800) -> DataFrame:
+    """Per entity: sessions, mean and median plays, artists and minutes of a session, sessions of one play, of several artists."""
+    each = assign_sessions(events, entity, time, gap).groupBy(entity, "session_start").agg(F.count("*").alias("n"), F.countDistinct("artist").alias("a"), ((F.max(time) - F.min(time)) / 60).alias("m"))
+    return each.groupBy(entity).agg(
+        F.count("*").alias("sessions"), F.round(F.avg("n"), 4).alias("mean_plays"), F.round(F.median("n"), 4).alias("median_plays"), F.round(F.avg("a"), 4).alias("mean_artists"), F.round(F.median("a"), 4).alias("median_artists"),
+        F.round(F.avg("m"), 4).alias("mean_minutes"), F.round(F.median("m"), 4).alias("median_minutes"), F.count_if(F.col("n") == 1).alias("single_play"), F.count_if(F.col("a") > 1).alias("multi_artist"),
+    )
+
+
+def transitions(plays: DataFrame, entity: str, gap: int = 1800, least: int = 2) -> DataFrame:
+    """(from_artist, to_artist, n): how often one artist follows another within ``gap`` seconds; repeats of one artist, whatever its case, don't count.
+
+    Neighbours within the gap are of one session, so windows run over sessions, not over all an entity's plays.
+    """
+    w = Window.partitionBy(entity, "session_start").orderBy("uts", "play_id")
+    after = assign_sessions(plays, entity, "uts", gap, "play_id").withColumn("to_artist", F.lead("artist").over(w))
+    moved = after.where(F.lower("artist") != F.lower("to_artist"))
+    return moved.groupBy(entity, F.col("artist").alias("from_artist"), "to_artist").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def discovery_context(plays: DataFrame, entity: str, gap: int = 1800) -> DataFrame:
+    """Per artist: when it was first played, and the other artists of that session in the order of names."""
+    named = assign_sessions(plays, entity, "uts", gap, "play_id")
+    starts = named.where("artist <> ''").groupBy(entity, "artist").agg(F.min(F.struct("uts", "play_id", "session_start")).alias("f")).select(entity, "artist", F.col("f.uts").alias("first_uts"), F.col("f.session_start").alias("session_start"))
+    company = named.where("artist <> ''").groupBy(entity, "session_start").agg(F.collect_set("artist").alias("others"))
+    return starts.join(company, [entity, "session_start"]).select(entity, "artist", "first_uts", F.array_join(F.array_sort(F.array_remove("others", F.col("artist"))), "|").alias("others"))
