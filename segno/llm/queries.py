@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segno.llm.bpe import encode_corpus
+from segno.llm.entities import album_matches
 from segno.llm.language import fit, language_stretches, page_languages, wrong_labels
 from segno.llm.leaks import find_leaks
 from segno.llm.lookalike import disguised_names
@@ -67,5 +68,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return wrong_labels(page_languages(p10_stretches(spark, d))).select("doc_id", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_names": p4_names, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_stretches": p10_stretches}
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    return album_matches(table(spark, d, "plays"), table(spark, d, "critic_lists"), table(spark, d, "releases"), table(spark, d, "artists"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).select("source_table", "artist", "title", "release_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_names": p4_names, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_stretches": p10_stretches}
 SQL: dict[str, str] = {}
