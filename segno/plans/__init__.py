@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +37,23 @@ def durable(df: DataFrame) -> DataFrame:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="segno-checkpoint-")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's executors, once, so that Python workers anywhere can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    folder = Path(__file__).resolve().parents[1]
+    shared = checkpoint_dir(spark)
+    place = Path(shared.removeprefix("file://")) if shared.startswith(("/", "file:///")) else Path(tempfile.mkdtemp(prefix="segno-"))
+    place.mkdir(parents=True, exist_ok=True)
+    target = place / f"segno-{context.applicationId}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(folder.rglob("*.py")):
+            z.write(p, p.relative_to(folder.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
