@@ -10,8 +10,8 @@ def ndcg(ranked: DataFrame, by: list[str], k: int) -> DataFrame:
     """(…, ndcg): gain of the first ``k`` by ``place``, against the best order of those same ``k``; 0 where nothing is relevant."""
     first = ranked.where(F.col("place") <= k)
     best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("relevance"), "place"))
-    out = first.withColumn("_b", best).groupBy(*by).agg(F.sum(F.col("relevance") / F.log2(F.col("place") + 1)).alias("g"), F.sum(F.col("relevance") / F.log2(F.col("_b") + 1)).alias("i"))
-    return out.select(*by, F.round(F.coalesce(F.try_divide("g", "i"), F.lit(0.0)), 6).alias("ndcg"))
+    out = first.withColumn("_b", best).groupBy(*by).agg(F.sum(F.col("relevance") / F.log2(F.col("place") + 1)).alias("_gain"), F.sum(F.col("relevance") / F.log2(F.col("_b") + 1)).alias("_ideal"))
+    return out.select(*by, F.round(F.coalesce(F.try_divide("_gain", "_ideal"), F.lit(0.0)), 6).alias("ndcg"))
 
 
 def hits(ranked: DataFrame, by: list[str], k: int, thresholds: list[int]) -> DataFrame:
@@ -31,8 +31,8 @@ def coverage(ranked: DataFrame, by: list[str], item: str) -> DataFrame:
 
 def novelty(ranked: DataFrame, by: list[str], k: int) -> DataFrame:
     """Mean popularity of the first ``k`` against that of all."""
-    out = ranked.groupBy(*by).agg(F.avg(F.when(F.col("place") <= k, F.col("popularity"))).alias("a"), F.avg("popularity").alias("b"))
-    return out.select(*by, F.round("a", 6).alias("top_popularity"), F.round("b", 6).alias("popularity"), F.round(F.try_divide("a", "b"), 6).alias("ratio"))
+    out = ranked.groupBy(*by).agg(F.avg(F.when(F.col("place") <= k, F.col("popularity"))).alias("_a"), F.avg("popularity").alias("_b"))
+    return out.select(*by, F.round("_a", 6).alias("top_popularity"), F.round("_b", 6).alias("popularity"), F.round(F.try_divide("_a", "_b"), 6).alias("ratio"))
 
 
 def follow_through(ranked: DataFrame, by: list[str], thresholds: list[int]) -> DataFrame:

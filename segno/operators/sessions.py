@@ -148,7 +148,7 @@ def assign_sessions(events: DataFrame, entity: str, time: str, gap: int = 1800,
     ends = rows.groupBy(entity, "_day").agg(F.max(time).alias("_end")).select(entity, "_day", F.lag("_end").over(over_days).alias("_day_before"))
     before = F.coalesce("_before", "_day_before")
     begun = rows.join(ends, [entity, "_day"]).withColumn("_new", F.when(before.isNull() | (F.col(time) - before > gap), F.col(time)))
-    begun = begun.withColumn("_start", F.last("_new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = begun.withColumn("_start", F.last("_new", ignorenulls=True).over(Window.partitionBy(entity, "_day").orderBy(time).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     carried = begun.groupBy(entity, "_day").agg(F.max("_new").alias("_s")).select(entity, "_day", F.last("_s", ignorenulls=True).over(over_days.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     joined = begun.join(carried, [entity, "_day"])
     return joined.withColumn("session_start", F.coalesce("_start", "_carried")).drop("_day", "_before", "_day_before", "_new", "_start", "_carried")
