@@ -33,7 +33,11 @@ def read_ranks(blob: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encodes words, the pieces of ``PATTERN``, byte by byte."""
+    """Encodes words, the pieces of ``PATTERN``, byte by byte.
+
+    ``ranks`` come from a byte-pair vocabulary: every byte has a token, and
+    every other token is the join of two of lower rank, made in that order.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -111,7 +115,7 @@ class Transducer:
             begun += add
             if here is None:
                 token = self.ranks.get(begun)
-                if token is not None:
+                if token is not None and (len(begun) == 1 or self._halves(token)):  # a token that merging never reaches is none
                     last = way[-1] if way else before
                     if last is None or self.joins(last, token):
                         here = (*way, token)
