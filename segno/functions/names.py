@@ -158,6 +158,7 @@ _GUEST_TAIL = re.compile(r"\s(?:feat|ft|featuring)\b\.?\s.*$")
 _NUMBER = re.compile(r"^\s*[\"'(]?\d{1,3}[.)\s-]+\s*(?=\S)")
 _PART = re.compile(r"\b(?:pt|part|vol|volume|no|nr|chapter)\b\.?\s*(\d+|[ivx]+)\b|\s([ivx]+|\d+)\s*$")
 _ALNUM = re.compile(r"[\W_]+")
+DASHES = str.maketrans("‐‑‒–—―−", "-------")
 
 
 def one_slip(a: str, b: str) -> bool:
@@ -208,7 +209,7 @@ def recording_key(track: str | None) -> tuple[str, str] | None:
     """
     if track is None:
         return None
-    text = plain(track).casefold().replace("&", " and ").replace("’", "'").replace("…", "...")
+    text = plain(track).casefold().translate(DASHES).replace("&", " and ").replace("’", "'").replace("…", "...")
     whole = _ALNUM.sub("", text)
     if not whole:
         return (text.strip(), "") if text.strip() else None

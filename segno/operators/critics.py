@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segno.functions.similarity import ratio_col
+
 
 def stripped(c: Column) -> Column:
     """Without white space of any kind at either end."""
@@ -138,3 +140,44 @@ def release_mix(matched: DataFrame) -> DataFrame:
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("plays"))), F.lit(0))
     out = matched.withColumn("kind", kind).groupBy("artist").agg(*[of(k).alias(f"{k}_plays") for k in ("album", "short", "unknown", "other")])
     return out.withColumn("short_ratio", F.round(F.try_divide(F.col("short_plays").cast("double"), F.col("short_plays") + F.col("album_plays")), 3))
+
+
+def grams(key: Column, size: int = 3) -> Column:
+    """The distinct pieces of ``size`` letters of a padded key."""
+    padded = F.concat(F.lit("##"), F.regexp_replace(key, " ", "_"), F.lit("##"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - size + 1), lambda i: F.substr(padded, i, F.lit(size))))
+
+
+def fuzzy_match(wanted: DataFrame, known: DataFrame, least: float = 85.0) -> DataFrame:
+    """(a_key, t_key, known_a, known_t, score): for each wanted album the best known one of equal key, else with both names alike to ``least``.
+
+    Alike means twice the common subsequence over all letters, in percent; the
+    score weighs the title 0.7 and the artist 0.3, ties go by name.  Pairs are
+    found by rare pieces of the title: two titles that are alike to 85 share,
+    of the pieces of either, more than its edits can destroy, so a wanted
+    title looks up only its rarest pieces, as many as edits can destroy plus
+    one, and so with artists; a pair is met by either.  Nothing is missed
+    unless both names have over 16 letters and edits that break every piece.
+    """
+    ask, have = wanted.select("a_key", "t_key").distinct(), known.select(F.col("a_key").alias("known_a"), F.col("t_key").alias("known_t")).distinct()
+    exact = ask.join(have, (F.col("a_key") == F.col("known_a")) & (F.col("t_key") == F.col("known_t"))).withColumn("score", F.lit(100.0))
+    rest = ask.join(exact.select("a_key", "t_key"), ["a_key", "t_key"], "left_anti")
+    both = F.lit((200.0 - least) / least)
+
+    def pieces(df: DataFrame, a: str, t: str) -> DataFrame:
+        return df.select(a, t, F.explode(F.array_union(F.transform(grams(F.col(t)), lambda g: F.concat(F.lit("t"), g)), F.transform(grams(F.col(a)), lambda g: F.concat(F.lit("a"), g)))).alias("g"))
+
+    stored = pieces(have, "known_a", "known_t")
+    often = stored.groupBy("g").agg(F.count("*").alias("df"))
+    asked = pieces(rest, "a_key", "t_key").join(often, "g")
+    # letters that differ between alike strings: at most len * (200 - 2 * least) / least of both sides together; each touches three pieces
+    edits = lambda c: F.floor(F.length(c) * (both - 1) + 1e-9) * 3 + 1
+    place = F.row_number().over(Window.partitionBy("a_key", "t_key", F.substring("g", 1, 1)).orderBy("df", "g"))
+    chosen = asked.withColumn("k", place).where(F.col("k") <= F.when(F.substring("g", 1, 1) == "t", edits("t_key")).otherwise(edits("a_key")))
+    met = chosen.join(stored, "g").select("a_key", "t_key", "known_a", "known_t", F.substring("g", 1, 1).alias("kind")).distinct()
+    pairs = met.groupBy("a_key", "t_key", "known_a", "known_t").agg(F.count("*").alias("kinds"))
+    near = lambda x, y: (F.least(F.length(x), F.length(y)) * 200 >= least * (F.length(x) + F.length(y)))
+    scored = pairs.where(near("a_key", "known_a") & near("t_key", "known_t")).withColumns({"sa": ratio_col(F.col("a_key"), F.col("known_a")), "st": ratio_col(F.col("t_key"), F.col("known_t"))})
+    alike = scored.where((F.col("sa") >= least) & (F.col("st") >= least)).withColumn("score", 0.7 * F.col("st") + 0.3 * F.col("sa"))
+    best = alike.withColumn("k", F.row_number().over(Window.partitionBy("a_key", "t_key").orderBy(F.desc("score"), "known_a", "known_t"))).where("k = 1")
+    return exact.unionByName(best.select("a_key", "t_key", "known_a", "known_t", "score"))

@@ -143,3 +143,32 @@ def weighted_sample(df: DataFrame, item: str, weight: str, n: int, seed: int = 7
     """``n`` items drawn with probability by weight: the smallest of exponential waiting times, from a hash of item and seed."""
     u = (F.pmod(F.xxhash64(F.col(item), F.lit(seed)), F.lit(2**52)) + 0.5) / 2**52
     return df.where(F.col(weight) > 0).withColumn("_wait", -F.log(u) / F.col(weight)).orderBy("_wait", item).limit(n).drop("_wait")
+
+
+def neighbours(pairs: DataFrame, weight: str, k: int) -> DataFrame:
+    """(a, b, place): the ``k`` strongest partners of each item of symmetric pairs, lower-case names, ties by name."""
+    both = pairs.select(F.lower("a").alias("a"), F.lower("b").alias("b"), F.col(weight).alias("w")).unionByName(pairs.select(F.lower("b").alias("a"), F.lower("a").alias("b"), F.col(weight).alias("w")))
+    best = both.where("a <> b").groupBy("a", "b").agg(F.max("w").alias("w"))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b")).cast("bigint")).where(F.col("place") <= k).select("a", "b", "place")
+
+
+def bridges(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(a, shared, only_one, only_other, jaccard): an item's neighbours in two spaces, of items that have some in both."""
+    sets = one.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("x")).join(other.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("y")), "a")
+    text = lambda c: F.array_join(F.array_sort(c), "|")
+    shared = F.array_intersect("x", "y")
+    return sets.select("a", text(shared).alias("shared"), text(F.array_except("x", "y")).alias("only_one"), text(F.array_except("y", "x")).alias("only_other"), F.round(F.size(shared) / F.size(F.array_union("x", "y")), 6).alias("jaccard"))
+
+
+def mean_vectors(rows: DataFrame, by: list[str], item: str, weight: str, space: DataFrame) -> DataFrame:
+    """(…, embedding): the weighted mean of items' vectors (item, embedding) for each owner, of length 1."""
+    long = rows.select(*by, F.col(item).alias("item"), F.col(weight).alias("_w")).join(space, "item").select(*by, "_w", F.posexplode("embedding").alias("_k", "_v"))
+    sums = long.groupBy(*by, "_k").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m"))
+    lists = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_k", "_m"))).alias("_l"))
+    return lists.select(*by, unit(F.col("_l._m")).alias("embedding"))
+
+
+def similar_owners(vectors: DataFrame, key: str, taste: list[float]) -> DataFrame:
+    """(key, similarity) of owners' unit vectors to one taste vector."""
+    asked = F.array(*[F.lit(float(v)) for v in taste])
+    return vectors.select(key, F.round(dot(F.col("embedding"), asked), 6).alias("similarity"))

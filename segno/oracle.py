@@ -199,3 +199,13 @@ SQL |= {
     "gini_coverage": f"""WITH {P}, {PICKS}, n AS (SELECT year, a_key, count(*) AS n FROM pk WHERE year IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n, a_key) AS i, row_number() OVER (PARTITION BY year ORDER BY n DESC, a_key) AS k, count(*) OVER (PARTITION BY year) AS m FROM n)
  SELECT year, count(*) AS items, round(sum(n) FILTER (k <= 10) / sum(n), 6) AS top10_share, round(greatest(0, least(1, (max(m) + 1 - 2 * sum((m + 1 - i) * n) / sum(n)) / max(m))), 6) AS gini FROM r GROUP BY year""",
 }
+SQL |= {
+    "musical_bridges": f"""WITH {P}, {PICKS}, u1 AS ({SQL["cooccurrence_cosine"].replace(f"WITH {P}, ", "WITH ")}), u2 AS ({SQL["colisting"].replace(f"WITH {PICKS}, ", "WITH ")}),
+ b1 AS (SELECT lower(a) AS a, lower(b) AS b, cosine AS w FROM u1 UNION ALL SELECT lower(b), lower(a), cosine FROM u1), b2 AS (SELECT lower(a) AS a, lower(b) AS b, weight AS w FROM u2 UNION ALL SELECT lower(b), lower(a), weight FROM u2),
+ n1 AS (SELECT a, list_sort(list(b)) AS x FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY max(w) DESC, b) AS k FROM b1 WHERE a <> b GROUP BY a, b) WHERE k <= 15 GROUP BY a),
+ n2 AS (SELECT a, list_sort(list(b)) AS y FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY max(w) DESC, b) AS k FROM b2 WHERE a <> b GROUP BY a, b) WHERE k <= 15 GROUP BY a)
+ SELECT a, array_to_string(list_filter(x, lambda v: list_contains(y, v)), '|') AS shared, array_to_string(list_filter(x, lambda v: NOT list_contains(y, v)), '|') AS only_one, array_to_string(list_filter(y, lambda v: NOT list_contains(x, v)), '|') AS only_other,
+ round(len(list_filter(x, lambda v: list_contains(y, v))) / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM n1 JOIN n2 USING (a)""",
+    "release_era_plays": f"WITH {P}, {REL} SELECT artist, album, CAST(sum(plays) AS BIGINT) AS plays, min(year) AS year FROM mt WHERE year BETWEEN 1990 AND 1999 GROUP BY artist, album",
+    "album_acclaim": f"WITH {P}, {PICKS}, {HEARD}, {CONS} SELECT a_key, t_key, critics, mean_rank, coalesce(hd.plays, 0) AS plays FROM cs LEFT JOIN hd USING (a_key, t_key) WHERE critics >= 2",
+}

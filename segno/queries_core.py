@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from segno.operators import changepoints as CP
 from segno.operators import counts as C
 from segno.operators import critics as K
+from segno.operators import eras as R
 from segno.operators import evaluate as E
 from segno.operators import graph as G
 from segno.operators import sessions as S
@@ -101,6 +102,35 @@ def _colisting_space(spark: SparkSession, d: str) -> DataFrame:
     return V.embed(pairs, "weight", 32)
 
 
+def _bridges(spark: SparkSession, d: str) -> DataFrame:
+    one = V.neighbours(V.weekly_pairs(_plays(spark, d), BY, 20), "cosine", 15)
+    return V.bridges(one, V.neighbours(V.listed_together(_picks(spark, d)), "weight", 15))
+
+
+def _similar_critics(spark: SparkSession, d: str) -> DataFrame:
+    """Critics by how close the mean of their artists' vectors is to that of what was played."""
+    space = _colisting_space(spark, d)
+    picked = _picks(spark, d).where("critic IS NOT NULL").select("critic", F.lower("artist").alias("artist"), (1 / F.log2(F.coalesce("rank", F.lit(50)) + 1)).alias("w"))
+    played = C.top(_plays(spark, d).withColumn("artist", F.lower("artist")), [], ["artist"], 100).select(F.lit(1).alias("one"), "artist", F.log1p("plays").alias("w"))
+    taste = V.mean_vectors(played, ["one"], "artist", "w", space).first()
+    critics = V.mean_vectors(picked, ["critic"], "artist", "w", space)
+    return V.similar_owners(critics, "critic", taste["embedding"] if taste else [])
+
+
+def _fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return K.fuzzy_match(K.consolidated(_picks(spark, d)), K.heard(_plays(spark, d)))
+
+
+def _era_plays(spark: SparkSession, d: str) -> DataFrame:
+    """Plays of albums released in the nineties."""
+    return _matched(spark, d).where("year BETWEEN 1990 AND 1999").groupBy("artist", "album").agg(F.sum("plays").alias("plays"), F.min("year").alias("year"))
+
+
+def _acclaim(spark: SparkSession, d: str) -> DataFrame:
+    """Albums of two critics or more with what the log has of them."""
+    return K.consolidated(_picks(spark, d)).where("critics >= 2").join(K.heard(_plays(spark, d)), ["a_key", "t_key"], "left").select("a_key", "t_key", "critics", "mean_rank", F.coalesce("plays", F.lit(0)).alias("plays"))
+
+
 def _diverse(spark: SparkSession, d: str) -> DataFrame:
     albums = C.familiarity(_plays(spark, d), BY).select(*BY, F.concat_ws(" - ", "artist", "album").alias("item"), "artist", "familiarity")
     return V.diversified(albums, BY, "item", "artist", "familiarity", 10)
@@ -196,4 +226,11 @@ QUERIES = {
     "follow_through": lambda s, d: E.follow_through(_ranked_picks(s, d), ["year"], [1, 5, 10]),
     "gini_coverage": lambda s, d: E.coverage(K.keyed(_picks(s, d)).where("year IS NOT NULL"), ["year"], "a_key"),
     "session_continuation": _continuation,
+    "musical_bridges": _bridges,
+    "similar_critics": _similar_critics,
+    "fuzzy_match": _fuzzy,
+    "eras": lambda s, d: R.eras(_plays(s, d), BY),
+    "trends": lambda s, d: R.trends(_plays(s, d), BY),
+    "release_era_plays": _era_plays,
+    "album_acclaim": _acclaim,
 }

@@ -46,12 +46,13 @@ def test_spellings_of_a_recording(title):
     assert same_recording(recording_key(SAME[0]), recording_key(title))
 
 
-@pytest.mark.parametrize("title", ["Wait... Tifulu (Live)", "Wait... Tifulu - Demo", "Wait... Tifulu (Brepom Remix)", "Wait... Tifulu, Pt. 2", "Wait... Tifulu II", "Wait... Tifulu (Acoustic) - Remastered 2010", "Wait... Other"])
+@pytest.mark.parametrize("title", ["Wait... Tifulu (Live)", "Wait... Tifulu - Demo", "Wait... Tifulu ‐ Demo", "Wait... Tifulu (Brepom Remix)", "Wait... Tifulu, Pt. 2", "Wait... Tifulu II", "Wait... Tifulu (Acoustic) - Remastered 2010", "Wait... Other"])
 def test_recordings_of_their_own(title):
     assert not same_recording(recording_key(SAME[0]), recording_key(title))
 
 
 def test_parts_and_versions():
+    assert recording_key("A Song ‐ Demo") == recording_key("A Song - Demo")
     assert same_recording(recording_key("X Song, Pt. 2"), recording_key("X Song II."))
     assert same_recording(recording_key("A Song (Live) (Remastered)"), recording_key("A Song (Live)"))
     assert not same_recording(recording_key("A Song II"), recording_key("A Song III"))
