@@ -27,6 +27,8 @@ from segno.llm.pages import reading_order
 ORDER = 4
 #: Pages of each language that the models are fitted on; the bound of the sample.
 SAMPLE = 150
+#: Letters of the longest page that may be in the sample, which the driver holds.
+LONGEST = 20_000
 #: Bits that a change of language between two lines costs.
 SWITCH = 24.0
 #: A stretch is in a language if its bits a letter are at most so many times those of the fitted pages.
@@ -209,17 +211,17 @@ def _count_words(lines: list[str]) -> list[int]:
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Models:
     """Models of the languages that labels name, fitted on at most ``sample`` labelled pages of each.
 
-    The pages are those of the smallest hash of their id.  After a first fit
+    The pages, of 200 to ``LONGEST`` letters, are those of the smallest hash of their id.  After a first fit
     the lines that another language explains better are taken out (labels are
     partly wrong, and pages mixed), and the models are fitted again.
     """
-    labelled = documents.where(F.length("text") >= 200).select("doc_id", code_of(F.col("lang")).alias("code")).where("code IS NOT NULL")
+    labelled = documents.where(F.length("text").between(200, LONGEST)).select("doc_id", code_of(F.col("lang")).alias("code")).where("code IS NOT NULL")
     order = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "code")
     ids = {r["doc_id"]: r["code"] for r in chosen.collect()}  # at most 8 * sample rows
     if not ids:
         return Models({})
-    picked = documents.where(F.col("doc_id").isin(list(ids))).select("doc_id", F.substring("text", 1, 20_000).alias("text"), F.col("page_lines.x0").alias("x0"), F.col("page_lines.y0").alias("y0"))
+    picked = documents.where(F.col("doc_id").isin(list(ids))).select("doc_id", "text", F.col("page_lines.x0").alias("x0"), F.col("page_lines.y0").alias("y0"))
     pages: dict[str, list[list[str]]] = {}
     for r in picked.dropDuplicates(["doc_id"]).collect():
         pages.setdefault(ids[r["doc_id"]], []).append(reading_order(r["text"], r["x0"], r["y0"]))

@@ -108,8 +108,11 @@ class WuManber:
             end, stop = end[live], stop[live]
 
 
-def pieces_of(passages: list[Passage]) -> dict[str, list[tuple[int, int]]]:
-    """piece → (passage, place): pieces that hold most of a word which few passages have."""
+def pieces_of(passages: list[Passage], words: int = 14) -> dict[str, list[tuple[int, int]]]:
+    """piece → (passage, place): pieces that hold most of a word which few passages have.
+
+    A stretch of ``words`` words without any such word has the pieces around its rarest one.
+    """
     having: dict[str, set[int]] = {}
     for k, p in enumerate(passages):
         for a, b in p.spans:
@@ -120,6 +123,11 @@ def pieces_of(passages: list[Passage]) -> dict[str, list[tuple[int, int]]]:
         for a, b in p.spans:
             if b - a >= RARE and len(having[p.text[a:b]]) <= COMMON:
                 places.update(range(max(0, a + RARE - PIECE), min(len(p.text) - PIECE, b - RARE) + 1))
+        for w in range(len(p.spans) - words + 1):
+            part = p.spans[w : w + words]
+            if not any(part[0][0] <= i and i + PIECE <= part[-1][1] for i in places):
+                a, b = min(part, key=lambda s: (len(having[p.text[s[0] : s[1]]]), s[0] - s[1]))
+                places.update(range(max(0, min(a, b - PIECE)), min(len(p.text) - PIECE, max(a, b - PIECE)) + 1))
         for i in sorted(places):
             found.setdefault(p.text[i : i + PIECE], []).append((k, i))
     return found
@@ -227,8 +235,6 @@ def carried(passage: Passage, page: Page, seeds: list[tuple[int, int]]) -> int:
         back = _extend(passage.backwards, size - i - 1, page.backwards, len(page.text) - j - 1, page.ends)
         low, high = size - back[-1][1], parts[-1][1]
         done.append((low, high, j - i))
-        if high - low < 40:
-            continue
         agrees = np.zeros(size, dtype=bool)
         for x, y in parts:
             agrees[x:y] = True
@@ -265,7 +271,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, words: int = 14) -> DataF
         size += len(r["text"])
     boxes = "page_lines" in documents.columns
     empty = F.lit(None).cast("array<int>")
-    pages = documents.where(F.length("text") > 40).select(
+    pages = documents.where(F.length("text") >= 2 * words - 1).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text", (F.col("page_lines.x0") if boxes else empty).alias("x0"), (F.col("page_lines.y0") if boxes else empty).alias("y0")
     )
     found = [_search(pages, block, words) for block in blocks]
@@ -280,7 +286,7 @@ def _search(pages: DataFrame, block: list[tuple[int, str]], words: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = [Passage(i, t) for i, t in shared.value if len(t.split()) >= words]
-        machine = WuManber(pieces_of(passages))
+        machine = WuManber(pieces_of(passages, words))
         for batch in batches:
             out: list[tuple[int, int, int]] = []
             for at in range(0, batch.num_rows, 256):
