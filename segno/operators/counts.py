@@ -197,3 +197,37 @@ def core_years(plays: DataFrame, by: list[str], share: float = 0.7) -> DataFrame
     order = Window.partitionBy(*by, "artist").orderBy(F.desc("n"), "year")
     run = years.withColumns({"sum": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(Window.partitionBy(*by, "artist"))})
     return run.where((F.col("sum") - F.col("n")) < share * F.col("total")).groupBy(*by, "artist").agg(_n().alias("core_years"), F.min("year").alias("from_year"), F.max("year").alias("to_year"))
+
+
+def artist_profile(plays: DataFrame, by: list[str], artist: str) -> DataFrame:
+    """One artist, whatever its case: plays, first and last time, years active from first to last, peak year, albums and tracks."""
+    mine = plays.where(F.lower("artist") == artist.lower())
+    years = mine.groupBy(*by, "year").agg(_n().alias("n")).groupBy(*by).agg(F.max_by("year", F.struct("n", -F.col("year"))).alias("peak_year"), F.max("n").alias("peak_plays"))
+    base = mine.groupBy(*by).agg(_n().alias("plays"), F.min("uts").alias("first_uts"), F.max("uts").alias("last_uts"), (F.max("year") - F.min("year") + 1).alias("years_active"), F.countDistinct(F.when(F.col("album") != "", F.col("album"))).alias("albums"), F.countDistinct("track").alias("tracks"))
+    return base.join(years, by) if by else base.withColumn("_o", F.lit(1)).join(years.withColumn("_o", F.lit(1)), "_o").drop("_o")
+
+
+def year_review(plays: DataFrame, by: list[str], year: int, limit: int = 15) -> DataFrame:
+    """A year's first artists with the plays of the year before, the year they were found, and whether it is their peak."""
+    years = plays.where("artist <> ''").groupBy(*by, "artist", "year").agg(_n().alias("n"))
+    wide = years.groupBy(*by, "artist").agg(F.max(F.when(F.col("year") == year, F.col("n"))).alias("plays"), F.coalesce(F.max(F.when(F.col("year") == year - 1, F.col("n"))), F.lit(0)).alias("plays_before"), F.min("year").alias("first_year"), F.max("n").alias("most"))
+    out = ranked(wide.where("plays IS NOT NULL"), by, [F.desc("plays"), F.asc("artist")], limit)
+    return out.select(*by, "artist", "rank", "plays", "plays_before", "first_year", (F.col("first_year") == year).alias("is_new"), (F.col("plays") == F.col("most")).alias("is_peak"))
+
+
+def period_summary(plays: DataFrame, by: list[str], low: int, high: int) -> DataFrame:
+    """Per year of a span: plays, artists, and artists never heard before, over the whole log."""
+    years = plays.where("artist <> ''").groupBy(*by, "artist", "year").agg(_n().alias("n"))
+    first = years.withColumn("first", F.min("year").over(Window.partitionBy(*by, "artist"))).where(F.col("year").between(low, high))
+    return first.groupBy(*by, "year").agg(F.sum("n").alias("plays"), _n().alias("artists"), F.count_if(F.col("first") == F.col("year")).alias("discovered"))
+
+
+def containing(plays: DataFrame, by: list[str], text: str) -> DataFrame:
+    """Artists whose name holds a text, whatever its case, or is held by it, with plays."""
+    name, want = F.lower("artist"), F.lit(text.lower())
+    return plays.where("artist <> ''").where(name.contains(want) | want.contains(name)).groupBy(*by, "artist").agg(_n().alias("plays"))
+
+
+def rollup_plays(plays: DataFrame, by: list[str]) -> DataFrame:
+    """Plays by year and month with subtotals: null stands for all."""
+    return plays.rollup(*by, "year", "month").agg(_n().alias("plays"))

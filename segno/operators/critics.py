@@ -181,3 +181,48 @@ def fuzzy_match(wanted: DataFrame, known: DataFrame, least: float = 85.0) -> Dat
     alike = scored.where((F.col("sa") >= least) & (F.col("st") >= least)).withColumn("score", 0.7 * F.col("st") + 0.3 * F.col("sa"))
     best = alike.withColumn("k", F.row_number().over(Window.partitionBy("a_key", "t_key").orderBy(F.desc("score"), "known_a", "known_t"))).where("k = 1")
     return exact.unionByName(best.select("a_key", "t_key", "known_a", "known_t", "score"))
+
+
+def who_listed(picks: DataFrame, artist: str) -> DataFrame:
+    """Listings of one artist's albums, by year and title, with critics and the best rank."""
+    wanted = keyed(picks).where(F.col("a_key") == match_key(F.lit(artist)))
+    return wanted.groupBy("year", "t_key").agg(F.countDistinct("critic").alias("critics"), F.min("rank").alias("best_rank"))
+
+
+def regrets(picks: DataFrame, plays: DataFrame, year: int, ago: int) -> DataFrame:
+    """Albums listed ``ago`` years before ``year`` or earlier that were never played, of artists that were."""
+    albums = consolidated(picks).where(F.lit(year) - F.col("last_year") >= ago).join(heard(plays), ["a_key", "t_key"], "left_anti")
+    known = plays.withColumn("a_key", match_key(F.col("artist"))).where("a_key <> ''").groupBy("a_key").agg(F.count("*").alias("artist_plays"))
+    return albums.join(known, "a_key").withColumn("years_ago", F.lit(year).cast("bigint") - F.col("last_year"))
+
+
+def frequent_listings(picks: DataFrame, plays: DataFrame, least: int) -> DataFrame:
+    """Unheard albums by listings (a critic who lists one twice counts twice), with the first three critics by name."""
+    new = keyed(picks).join(heard(plays), ["a_key", "t_key"], "left_anti")
+    out = new.groupBy("a_key", "t_key").agg(F.count("*").alias("listings"), F.array_join(F.slice(F.array_sort(F.collect_set("critic")), 1, 3), "|").alias("critics"))
+    return out.where(F.col("listings") >= least)
+
+
+def profiles(picks: DataFrame, plays: DataFrame, signature: int = 2) -> DataFrame:
+    """Per critic: picks, heard, rank among critics by share heard, lists' first and last year, artists listed ``signature`` times."""
+    mine = heard(plays).select("a_key", "t_key", F.lit(1).alias("h"))
+    rows = keyed(picks).where("critic IS NOT NULL").join(mine, ["a_key", "t_key"], "left")
+    artists = rows.groupBy("critic", "a_key").agg(F.count("*").alias("n")).groupBy("critic").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") >= signature, F.col("a_key")))), "|").alias("signature"))
+    base = rows.groupBy("critic").agg(F.count("*").alias("picks"), F.count("h").alias("heard"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    # a row per critic: one ordered list of all is what a rank among them is
+    rank = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("heard") / F.col("picks"), 6)), "critic")).cast("bigint")
+    return base.withColumn("rank", rank).join(artists, "critic")
+
+
+def catalog_stats(releases: DataFrame, genres: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows, years and distinct names of the release tables, in one row."""
+    r = releases.agg(F.count("*").alias("releases"), F.min("year").cast("bigint").alias("first_year"), F.max("year").cast("bigint").alias("last_year"), F.countDistinct("artist_norm").alias("artists"))
+    g = genres.agg(F.countDistinct("genre").alias("genres"), F.sum("count").cast("bigint").alias("tags"))
+    n = labels.agg(F.countDistinct("label_name").alias("labels"))
+    one = F.lit(1)
+    return r.withColumn("_o", one).join(g.withColumn("_o", one), "_o").join(n.withColumn("_o", one), "_o").drop("_o")
+
+
+def most_used(df: DataFrame, name: str, weight: Column, limit: int) -> DataFrame:
+    """The first ``limit`` genres or labels by weight, then name."""
+    return df.where(F.coalesce(F.col(name), F.lit("")) != "").groupBy(name).agg(F.sum(weight).cast("bigint").alias("n")).orderBy(F.desc("n"), name).limit(limit)

@@ -209,3 +209,23 @@ SQL |= {
     "release_era_plays": f"WITH {P}, {REL} SELECT artist, album, CAST(sum(plays) AS BIGINT) AS plays, min(year) AS year FROM mt WHERE year BETWEEN 1990 AND 1999 GROUP BY artist, album",
     "album_acclaim": f"WITH {P}, {PICKS}, {HEARD}, {CONS} SELECT a_key, t_key, critics, mean_rank, coalesce(hd.plays, 0) AS plays FROM cs LEFT JOIN hd USING (a_key, t_key) WHERE critics >= 2",
 }
+SQL |= {
+    "who_listed": f"WITH {PICKS} SELECT year, t_key, count(DISTINCT critic) AS critics, min(rank) AS best_rank FROM pk WHERE a_key = 'paper estuaries' GROUP BY ALL",
+    "regrets": f"""WITH {P}, {PICKS}, {HEARD}, {CONS}, kn AS (SELECT {_key('artist')} AS a_key, count(*) AS artist_plays FROM p GROUP BY 1)
+ SELECT cs.*, artist_plays, 2025 - last_year AS years_ago FROM cs ANTI JOIN hd USING (a_key, t_key) JOIN kn USING (a_key) WHERE 2025 - last_year >= 3 AND a_key <> ''""",
+    "frequent_listings": f"""WITH {P}, {PICKS}, {HEARD} SELECT a_key, t_key, count(*) AS listings, coalesce(array_to_string(list_sort(list(DISTINCT critic))[1:3], '|'), '') AS critics FROM pk ANTI JOIN hd USING (a_key, t_key) GROUP BY ALL HAVING count(*) >= 2""",
+    "critic_profiles": f"""WITH {P}, {PICKS}, {HEARD}, r AS (SELECT pk.*, hd.plays AS h FROM pk LEFT JOIN hd USING (a_key, t_key) WHERE critic IS NOT NULL), b AS (SELECT critic, count(*) AS picks, count(h) AS heard, min(year) AS first_year, max(year) AS last_year FROM r GROUP BY critic),
+ sg AS (SELECT critic, array_to_string(list_sort(list(a_key) FILTER (n >= 2)), '|') AS signature FROM (SELECT critic, a_key, count(*) AS n FROM r GROUP BY ALL) GROUP BY critic)
+ SELECT critic, picks, heard, first_year, last_year, row_number() OVER (ORDER BY round(heard / picks, 6) DESC, critic) AS rank, coalesce(signature, '') AS signature FROM b JOIN sg USING (critic)""",
+    "catalog_stats": """SELECT (SELECT count(*) FROM releases) AS releases, (SELECT CAST(min(year) AS BIGINT) FROM releases) AS first_year, (SELECT CAST(max(year) AS BIGINT) FROM releases) AS last_year, (SELECT count(DISTINCT artist_norm) FROM releases) AS artists,
+ (SELECT count(DISTINCT genre) FROM release_genres) AS genres, (SELECT CAST(sum(count) AS BIGINT) FROM release_genres) AS tags, (SELECT count(DISTINCT label_name) FROM release_labels) AS labels""",
+    "top_genres": "SELECT genre, CAST(sum(count) AS BIGINT) AS n FROM release_genres WHERE genre <> '' GROUP BY genre ORDER BY n DESC, genre LIMIT 20",
+    "top_labels": "SELECT label_name, count(*) AS n FROM release_labels WHERE label_name <> '' GROUP BY label_name ORDER BY n DESC, label_name LIMIT 20",
+    "artist_profile": f"""WITH {P}, m AS (SELECT * FROM p WHERE lower(artist) = 'the paper estuaries'), y AS (SELECT username, arg_max(year, {{'n': n, 'y': -year}}) AS peak_year, max(n) AS peak_plays FROM (SELECT username, year, count(*) AS n FROM m GROUP BY ALL) GROUP BY username)
+ SELECT username, count(*) AS plays, min(uts) AS first_uts, max(uts) AS last_uts, max(year) - min(year) + 1 AS years_active, count(DISTINCT nullif(album, '')) AS albums, count(DISTINCT track) AS tracks, any_value(peak_year) AS peak_year, any_value(peak_plays) AS peak_plays FROM m JOIN y USING (username) GROUP BY username""",
+    "year_review": f"""WITH {P}, {YEARS}, w AS (SELECT username, artist, max(n) FILTER (year = 2015) AS plays, coalesce(max(n) FILTER (year = 2014), 0) AS plays_before, min(year) AS first_year, max(n) AS most FROM y GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY username ORDER BY plays DESC, artist) AS rank FROM w WHERE plays IS NOT NULL) SELECT username, artist, rank, plays, plays_before, first_year, first_year = 2015 AS is_new, plays = most AS is_peak FROM r WHERE rank <= 15""",
+    "period_summary": f"""WITH {P}, {YEARS}, m AS (SELECT *, min(year) OVER (PARTITION BY username, artist) AS f FROM y) SELECT username, year, CAST(sum(n) AS BIGINT) AS plays, count(*) AS artists, count(*) FILTER (f = year) AS discovered FROM m WHERE year BETWEEN 2012 AND 2016 GROUP BY username, year""",
+    "artists_containing": f"WITH {P} SELECT username, artist, count(*) AS plays FROM p WHERE artist <> '' AND (contains(lower(artist), 'paper') OR contains('paper', lower(artist))) GROUP BY ALL",
+    "plays_rollup": f"WITH {P} SELECT username, year, month, count(*) AS plays FROM p GROUP BY ROLLUP (username, year, month)",
+}

@@ -233,4 +233,16 @@ QUERIES = {
     "trends": lambda s, d: R.trends(_plays(s, d), BY),
     "release_era_plays": _era_plays,
     "album_acclaim": _acclaim,
+    "who_listed": lambda s, d: K.who_listed(_picks(s, d), "The Paper Estuaries"),
+    "regrets": lambda s, d: K.regrets(_picks(s, d), _plays(s, d), 2025, 3),
+    "frequent_listings": lambda s, d: K.frequent_listings(_picks(s, d), _plays(s, d), 2),
+    "critic_profiles": lambda s, d: K.profiles(_picks(s, d), _plays(s, d)),
+    "catalog_stats": lambda s, d: K.catalog_stats(table(s, d, "releases"), table(s, d, "release_genres"), table(s, d, "release_labels")),
+    "top_genres": lambda s, d: K.most_used(table(s, d, "release_genres"), "genre", F.col("count"), 20),
+    "top_labels": lambda s, d: K.most_used(table(s, d, "release_labels"), "label_name", F.lit(1), 20),
+    "artist_profile": lambda s, d: C.artist_profile(_plays(s, d), BY, "The Paper Estuaries"),
+    "year_review": lambda s, d: C.year_review(_plays(s, d), BY, 2015),
+    "period_summary": lambda s, d: C.period_summary(_plays(s, d), BY, 2012, 2016),
+    "artists_containing": lambda s, d: C.containing(_plays(s, d), BY, "paper"),
+    "plays_rollup": lambda s, d: C.rollup_plays(_plays(s, d), BY),
 }

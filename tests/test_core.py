@@ -282,3 +282,13 @@ def test_the_rest_stands_without_llm():
             for node in ast.walk(ast.parse(path.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any("llm" in n for n in names), path
+
+
+def test_pages(spark):
+    from segno.sources.pages import list_entries, wanted_links
+
+    html = "<html><title>Ann's best of 2014</title><ol><li>1. <a href='/a'>Ab &amp; Cd</a> - <a href='/t'>The Tune</a></li><li>no entry</li><li>Ef – Other</li></ol></html>"
+    rows = list_entries(spark.createDataFrame([("u", html, 1), ("v", None, 2), ("w", "", 3)], "url string, html string, title int")).orderBy("rank").collect()
+    assert [(r.page_title, r["rank"], r.artist, r.title, r.album_url) for r in rows] == [("Ann's best of 2014", 1, "Ab & Cd", "The Tune", "/t"), ("Ann's best of 2014", 2, "Ef", "Other", None)]
+    links = spark.createDataFrame([("http://x/lists/best-2014",), ("http://x/lists/",), ("http://x/about",)], "url string")
+    assert [r.url for r in wanted_links(links, "http://x/lists/", ["best"]).collect()] == ["http://x/lists/best-2014"]
