@@ -22,9 +22,11 @@ MOST_EDGES = 200_000
 
 def session_nodes(plays: DataFrame, entity: str, least: int, gap: int = 1800) -> DataFrame:
     """(entity, session_start, node): distinct artists of each session, of those with ``least`` plays; all rows shape the sessions."""
-    held = assign_sessions(plays, entity, "uts", gap, "play_id").where("trim(artist) <> ''").select(entity, "session_start", F.lower("artist").alias("node"))
-    often = held.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("node")
-    return held.distinct().join(often, "node", "left_semi")
+    named = assign_sessions(plays, entity, "uts", gap, "play_id").where("trim(artist) <> ''")
+    # one row per session and artist, kept: what follows reads it several times
+    held = durable(named.groupBy(entity, "session_start", F.lower("artist").alias("node")).agg(F.count("*").alias("n")))
+    often = held.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("node")
+    return held.drop("n").join(often, "node", "left_semi")
 
 
 def session_edges(nodes: DataFrame, entity: str, least: int) -> DataFrame:
