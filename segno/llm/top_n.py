@@ -67,7 +67,9 @@ def top_n(scored: DataFrame, groups: list[str], scores: list[str], item: str, n:
 def monthly_artist_counts(plays: DataFrame, artists: DataFrame) -> DataFrame:
     """(username, play_month, artist_id, n_plays, last_uts) over merged plays; a play without track counts for its artist."""
     merged = merged_plays(plays, artists).where("artist_id IS NOT NULL")
-    month = F.date_format(F.timestamp_seconds("uts"), "yyyy-MM").alias("play_month")
+    # by way of a date, so that the session's time zone doesn't matter
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("uts") / 86_400).cast("int"))
+    month = F.date_format(day, "yyyy-MM").alias("play_month")
     return merged.groupBy("username", month, "artist_id").agg(F.count("*").alias("n_plays"), F.max("uts").alias("last_uts"))
 
 
