@@ -68,6 +68,7 @@ class Passage:
         whole = "".join(parts)
         self.text, self.spans = whole, spans
         self.backwards = whole[::-1]
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
 
 
 class WuManber:
@@ -217,7 +218,7 @@ class Page:
         self.ends = sorted(at - s for s in self.starts[1:]) + [at]
 
 
-def carried(passage: Passage, page: Page, seeds: list[tuple[int, int]]) -> int:
+def carried(passage: Passage, page: Page, seeds: list[tuple[int, int]], least: int = 1) -> int:
     """The most consecutive words of a passage that a page carries around one of the seeds (place in passage, in page).
 
     From a seed the two texts are followed both ways as long as they agree but
@@ -235,6 +236,8 @@ def carried(passage: Passage, page: Page, seeds: list[tuple[int, int]]) -> int:
         back = _extend(passage.backwards, size - i - 1, page.backwards, len(page.text) - j - 1, page.ends)
         low, high = size - back[-1][1], parts[-1][1]
         done.append((low, high, j - i))
+        if bisect.bisect_left(passage.starts, high) - bisect.bisect_right(passage.ends, low) < least:
+            continue  # so many words aren't even touched
         agrees = np.zeros(size, dtype=bool)
         for x, y in parts:
             agrees[x:y] = True
@@ -305,7 +308,7 @@ def _search(pages: DataFrame, block: list[tuple[int, str]], words: int) -> DataF
                     if page not in turned:
                         read[page].turn()
                         turned.add(page)
-                    n = carried(passages[k], read[page], seeds)
+                    n = carried(passages[k], read[page], seeds, words)
                     if n >= words:
                         out.append((ids[page], passages[k].item_id, n))
             if out:
