@@ -129,6 +129,14 @@ def test_match_albums(spark, artists_of):
     assert match_albums(df.limit(0), releases, artists).count() == 0 and match_albums(df, releases.limit(0), artists).count() == 0
 
 
+def test_titles_damaged_near_both_ends(spark, artists_of):
+    whole = {"Sog\ufffdn Liri \ufffd\ufffd\ufffd": "Sogón Liri Abé", "caf\ufffd noir": "Café Noir", "\ufffdbc\ufffdef\ufffd": "Abcdefg", "A\ufffdC\ufffdE\ufffdG": "Abcdefg"}
+    releases = spark.createDataFrame(list({(t, "Ab Cdef") for t in whole.values()} | {("Café Brun", "Ab Cdef")}), "title string, artist_credit string").selectExpr("xxhash64(title) AS id", "artist_credit", "title")
+    df = spark.createDataFrame([("plays", "Ab Cdef", t) for t in whole], "source_table string, artist string, title string")
+    got = match_albums(df, releases, artists_of("Ab Cdef")).join(releases.selectExpr("id AS release_id", "title AS album"), "release_id")
+    assert sorted((r.title, r.album) for r in got.collect()) == sorted(whole.items())
+
+
 def test_propagation_settles_rivals(spark):
     edges = spark.createDataFrame([(1, 10, 20.0, 0), (1, 11, 2.0, 0), (2, 11, 5.0, 1)], "l bigint, r bigint, odds double, spelling int")
     got = {(r.l, r.r): r.confidence for r in propagate(edges, "l", "r").collect()}
