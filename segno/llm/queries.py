@@ -11,7 +11,7 @@ from segno.llm.language import fit, language_stretches, page_languages, wrong_la
 from segno.llm.leaks import find_leaks
 from segno.llm.lookalike import disguised_names
 from segno.llm.runs import repeated_plays
-from segno.llm.together import artists_together
+from segno.llm.together import all_artists_together, artists_together
 from segno.llm.top_n import top_artists_by_month
 from segno.sources.tables import table
 
@@ -28,11 +28,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return artists_together(table(spark, d, "plays"), table(spark, d, "artists")).withColumnsRenamed({"a": "artist_id_a", "b": "artist_id_b"})
+    return all_artists_together(table(spark, d, "plays"), table(spark, d, "artists")).withColumnsRenamed({"a": "artist_id_a", "b": "artist_id_b"})
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_pairs(spark, d).select("artist_id_a", "artist_id_b")
+    return artists_together(table(spark, d, "plays"), table(spark, d, "artists")).select(F.col("a").alias("artist_id_a"), F.col("b").alias("artist_id_b"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from segno.operators.ordered import Rows, in_order, stitch
 from segno.operators.plays import with_artist
-from segno.plans import durable, is_small
+from segno.plans import durable, is_small, small_or_shuffled
 
 #: Pairs a task counts before it gives them out.
 HELD_PAIRS = 500_000
@@ -73,25 +73,27 @@ def session_baskets(plays: DataFrame, artists: DataFrame, gap: int = 1800) -> Da
     return scanned.where("NOT open").drop("open").unionByName(stitch(scanned.where("open"), "username", join, _BASKET))
 
 
-def pair_counts(baskets: DataFrame, items: str, least: int, share: int, times: int) -> DataFrame:
+def pair_counts(baskets: DataFrame, items: str, least: int = 1, share: int | None = None, times: int | None = None) -> DataFrame:
     """(a, b, n_ab, n_a, n_b, n_baskets, lift, pmi) of pairs a < b, exact.
 
     Pairs are kept with n_ab >= ``least``, ``share`` * n_ab >= S and
-    n_ab * S >= ``times`` * n_a * n_b, S counting all baskets.  As n_ab is at
-    most n_a and n_b, only items in as many baskets are paired: no more than
-    ``share`` times the mean number of items of a basket, however many items
-    there are.  Each task adds up its pairs before the shuffle.  ``baskets``
-    hold distinct items; a null or empty list counts as a basket without items.
+    n_ab * S >= ``times`` * n_a * n_b, S counting all baskets; without these
+    every pair in a basket comes out.  As n_ab is at most n_a and n_b, with
+    ``share`` only items in as many baskets are paired: no more than ``share``
+    times the mean number of items of a basket, however many items there are;
+    without it all items are, and none are collected.  Each task adds up its
+    pairs before the shuffle.  ``baskets`` hold distinct items; a null or empty
+    list counts as a basket without items.
     """
     baskets = durable(baskets.select(F.col(items).alias("items")))
     total = baskets.count()
     schema = "a bigint, b bigint, n_ab bigint, n_a bigint, n_b bigint, n_baskets bigint, lift double, pmi double"
     if not total:
         return baskets.sparkSession.createDataFrame([], schema)
-    floor = max(least, -(-total // share))
+    floor = max(least, -(-total // share)) if share else least
     marginal = baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= floor)
-    counts = {r["item"]: r["n"] for r in marginal.collect()}  # at most share * (items per basket) rows
-    shared = baskets.sparkSession.sparkContext.broadcast(counts)
+    frequent = {r["item"] for r in marginal.select("item").collect()} if share else None  # at most share * (items per basket) rows
+    shared = baskets.sparkSession.sparkContext.broadcast(frequent)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, held = shared.value, Counter()
@@ -106,18 +108,18 @@ def pair_counts(baskets: DataFrame, items: str, least: int, share: int, times: i
             for basket in pdf["items"]:
                 if basket is None:
                     continue
-                kept = sorted(i for i in basket.tolist() if i in frequent)
+                kept = sorted(i for i in basket.tolist() if frequent is None or i in frequent)
                 for k, a in enumerate(kept):
                     held.update((a, b) for b in kept[k + 1 :])
-                if len(held) > HELD_PAIRS:
-                    yield given()
+                    if len(held) > HELD_PAIRS:
+                        yield given()
         if held:
             yield given()
 
     pairs = baskets.mapInPandas(count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= floor)
-    known = F.broadcast(marginal) if len(counts) <= 200_000 else marginal
+    known = small_or_shuffled(marginal)
     joined = pairs.join(known.select(F.col("item").alias("a"), F.col("n").alias("n_a")), "a").join(known.select(F.col("item").alias("b"), F.col("n").alias("n_b")), "b")
-    exact = joined.where(F.col("n_ab").cast("decimal(38,0)") * total >= F.col("n_a").cast("decimal(19,0)") * F.col("n_b").cast("decimal(19,0)") * times)
+    exact = joined.where(F.col("n_ab").cast("decimal(38,0)") * total >= F.col("n_a").cast("decimal(19,0)") * F.col("n_b").cast("decimal(19,0)") * times) if times else joined
     lift = F.col("n_ab") * F.lit(float(total)) / F.col("n_a") / F.col("n_b")
     return exact.select("a", "b", "n_ab", "n_a", "n_b", F.lit(total).cast("bigint").alias("n_baskets"), lift.alias("lift"), F.log2(lift).alias("pmi"))
 
@@ -125,3 +127,8 @@ def pair_counts(baskets: DataFrame, items: str, least: int, share: int, times: i
 def artists_together(plays: DataFrame, artists: DataFrame) -> DataFrame:
     """Pairs of artists with three sessions in common or more, one in 500 of all sessions, three times as often as by chance."""
     return pair_counts(session_baskets(plays, artists), "items", 3, 500, 3)
+
+
+def all_artists_together(plays: DataFrame, artists: DataFrame) -> DataFrame:
+    """Every pair of artists with a session in common."""
+    return pair_counts(session_baskets(plays, artists), "items")

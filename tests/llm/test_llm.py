@@ -12,7 +12,7 @@ from segno.llm.language import fit, language_stretches, page_languages, wrong_la
 from segno.llm.leaks import find_leaks, stream
 from segno.llm.lookalike import disguised_names, plain_names
 from segno.llm.pages import reading_order
-from segno.llm.queries import VOCABULARY
+from segno.llm.queries import QUERIES, VOCABULARY
 from segno.llm.runs import collapse_runs, repeated_plays
 from segno.llm.together import pair_counts, session_baskets
 from segno.llm.top_n import top_artists_by_month, top_n
@@ -71,6 +71,16 @@ def test_pairs_against_brute_force(spark):
     assert pair_counts(df.limit(0), "items", 3, 500, 1).count() == 0
 
 
+def test_every_pair_has_its_counts(spark, plays_of, artists_of, tmp_path):
+    # one session in common, and less often than by chance
+    rows = [("u", 5000 * k, a, None, "t") for k, a in enumerate(["Ab"] * 3 + ["Cd"] * 3)] + [("v", 0, "Ab", None, "t"), ("v", 10, "Cd", None, "t")]
+    plays_of(rows).write.parquet(str(tmp_path / "plays.parquet"))
+    artists_of("Ab", "Cd").write.parquet(str(tmp_path / "artists.parquet"))
+    got = [(r.artist_id_a, r.artist_id_b, r.n_ab, r.n_a, r.n_b, r.n_baskets, round(r.lift, 6)) for r in QUERIES["p2_pairs"](spark, str(tmp_path)).collect()]
+    assert got == [(100, 101, 1, 4, 4, 7, 0.4375)]
+    assert QUERIES["p2_found"](spark, str(tmp_path)).count() == 0
+
+
 def test_baskets_hold_all_sessions(plays_of, artists_of):
     rows = [("u", 0, "Ab", None, "t"), ("u", 10, "Cd", None, None), ("u", 20, "ab", None, "t"), ("u", 5000, None, None, "t"), ("v", 0, "", None, "t"), (None, 0, "Ab", None, "t"), ("v", None, "Ab", None, "t")]
     got = sorted((r.username, r.start_uts, tuple(r["items"])) for r in session_baskets(plays_of(rows), artists_of("Ab", "Cd")).collect())
