@@ -1,23 +1,30 @@
 """The graph of artists heard in the same sessions, and its measures.
 
-Edges and node measures are DataFrame plans; algorithms over the whole
-structure (communities, centrality, cut vertices) run on the thresholded
-graph, whose size is checked before it is brought to the driver.
+Edges and node measures are DataFrame plans.  Algorithms over the whole
+structure run on the thresholded graph, of whatever size: communities and cut
+vertices, a few passes over its edges, on the driver; centrality, a search
+from every node, in tasks.
 """
 
 from __future__ import annotations
 
 import heapq
+import sys
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segno.operators.sessions import assign_sessions
-from segno.plans import durable, is_small
+from segno.plans import durable
 
-#: Edges up to which the thresholded graph is brought to the driver.
-MOST_EDGES = 200_000
+#: Nodes by whose distances edges are told that no shortest path takes.
+HUBS = 32
+#: Nodes whose searches are one task.
+SOURCES = 128
 
 
 def session_nodes(plays: DataFrame, entity: str, least: int, gap: int = 1800) -> DataFrame:
@@ -73,12 +80,12 @@ def neighbourhood(edges: DataFrame, start: str, hops: int) -> DataFrame:
 
 
 def collected(edges: DataFrame) -> dict[str, dict[str, float]]:
-    """The thresholded graph as adjacency, if it is small enough for the driver."""
-    if not is_small(edges, MOST_EDGES):
-        raise ValueError(f"more than {MOST_EDGES} edges; raise the threshold")
+    """The thresholded graph as adjacency, read part by part."""
     graph: dict[str, dict[str, float]] = defaultdict(dict)
-    for r in edges.select("source", "target", F.col("shared_sessions").alias("w")).orderBy("source", "target").collect():
-        graph[r["source"]][r["target"]] = graph[r["target"]][r["source"]] = float(r["w"])
+    kept = durable(edges.select("source", "target", F.col("shared_sessions").alias("w")))
+    for r in kept.orderBy("source", "target").toLocalIterator():
+        a, b = sys.intern(r["source"]), sys.intern(r["target"])  # one copy of a name for all its edges
+        graph[a][b] = graph[b][a] = float(r["w"])
     return dict(graph)
 
 
@@ -124,36 +131,82 @@ def communities(graph: dict[str, dict[str, float]], resolution: float = 1.0) ->
     return {v: k for k, group in enumerate(sorted(members.values(), key=min)) for v in group}
 
 
-def centrality(graph: dict[str, dict[str, float]]) -> dict[str, tuple[float, float]]:
-    """node → (betweenness, closeness), over distances 1 / weight; normalised, closeness scaled by the size of the component."""
-    n, between, close = len(graph), dict.fromkeys(graph, 0.0), {}
-    for s in graph:
-        dist, paths, before, order, seen = {s: 0.0}, defaultdict(float, {s: 1.0}), defaultdict(list), [], set()
-        queue = [(0.0, s)]
-        while queue:
-            d, v = heapq.heappop(queue)
-            if v in seen:
-                continue
-            seen.add(v)
-            order.append(v)
-            for u, w in graph[v].items():
-                there = d + 1.0 / w
-                if u not in dist or there < dist[u] - 1e-12:
-                    dist[u], paths[u], before[u] = there, paths[v], [v]
-                    heapq.heappush(queue, (there, u))
-                elif abs(there - dist[u]) <= 1e-12 and u not in seen:
-                    paths[u] += paths[v]
-                    before[u].append(v)
+Links = list[list[tuple[int, float]]]
+
+
+def _search(links: Links, s: int) -> tuple[dict[int, float], dict[int, float], dict[int, list[int]], list[int]]:
+    """Distances from ``s``, numbers of shortest paths, the nodes before each on them, and nodes by distance."""
+    dist, paths, before, order, seen = {s: 0.0}, defaultdict(float, {s: 1.0}), defaultdict(list), [], set()
+    queue = [(0.0, s)]
+    while queue:
+        d, v = heapq.heappop(queue)
+        if v in seen:
+            continue
+        seen.add(v)
+        order.append(v)
+        for u, length in links[v]:
+            there = d + length
+            if u not in dist or there < dist[u] - 1e-12:
+                dist[u], paths[u], before[u] = there, paths[v], [v]
+                heapq.heappush(queue, (there, u))
+            elif abs(there - dist[u]) <= 1e-12 and u not in seen:
+                paths[u] += paths[v]
+                before[u].append(v)
+    return dist, paths, before, order
+
+
+def shortest_links(graph: dict[str, dict[str, float]]) -> Links:
+    """Neighbours of each node, by number in the order of ``graph``, and the length 1 / weight, without edges longer than a way through a hub: no shortest path takes those."""
+    at = {v: k for k, v in enumerate(graph)}
+    links = [[(at[u], 1.0 / w) for u, w in ws.items()] for ws in graph.values()]
+    source = np.repeat(np.arange(len(links)), [len(x) for x in links])
+    target = np.fromiter((u for x in links for u, _ in x), dtype=np.int64, count=len(source))
+    length = np.fromiter((d for x in links for _, d in x), dtype=np.float64, count=len(source))
+    best = np.full(len(source), np.inf)
+    for hub in heapq.nlargest(HUBS, range(len(links)), key=lambda v: sum(1.0 / d for _, d in links[v])):
+        away = np.full(len(links), np.inf)
+        for v, d in _search(links, hub)[0].items():
+            away[v] = d
+        np.minimum(best, away[source] + away[target], out=best)
+    # far above the difference up to which two lengths are one
+    kept = iter((length <= best + 1e-9).tolist())
+    return [[e for e in x if next(kept)] for x in links]
+
+
+def _between_and_close(links: Links, sources: Iterable[int]) -> tuple[dict[int, float], dict[int, float]]:
+    """What the shortest paths from ``sources`` add to betweenness, and the closeness of these."""
+    n, between, close = len(links), defaultdict(float), {}
+    for s in sources:
+        dist, paths, before, order = _search(links, s)
         far = sum(dist.values())
         close[s] = (len(dist) - 1) / far * (len(dist) - 1) / (n - 1) if far and n > 1 else 0.0
-        flow: dict[str, float] = defaultdict(float)
+        flow: dict[int, float] = defaultdict(float)
         for v in reversed(order):
             for u in before[v]:
                 flow[u] += paths[u] / paths[v] * (1 + flow[v])
             if v != s:
                 between[v] += flow[v]
+    return between, close
+
+
+def centrality(graph: dict[str, dict[str, float]], spark: SparkSession | None = None) -> dict[str, tuple[float, float]]:
+    """node → (betweenness, closeness), over distances 1 / weight; normalised, closeness scaled by the size of the component.  With a session, tasks search from a share of the nodes each."""
+    links, n = shortest_links(graph), len(graph)
+    if spark is None or not n:
+        between, close = _between_and_close(links, range(n))
+    else:
+        shared = spark.sparkContext.broadcast(links)
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sources = [k for pdf in batches for k in pdf["id"].tolist()]
+            part, near = _between_and_close(shared.value, sources)
+            yield pd.DataFrame([(v, part.get(v, 0.0), near.get(v, 0.0)) for v in {**part, **near}], columns=["id", "between", "close"])
+
+        parts = spark.range(0, n, 1, -(-n // SOURCES)).mapInPandas(search, "id bigint, between double, close double")
+        rows = parts.groupBy("id").agg(F.sum("between").alias("between"), F.sum("close").alias("close")).collect()  # one a node
+        between, close = {r["id"]: r["between"] for r in rows}, {r["id"]: r["close"] for r in rows}
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return {v: (between[v] * scale, close[v]) for v in graph}
+    return {v: (between.get(k, 0.0) * scale, close[k]) for k, v in enumerate(graph)}
 
 
 def cut_vertices(graph: dict[str, dict[str, float]]) -> set[str]:
@@ -190,7 +243,7 @@ def cut_vertices(graph: dict[str, dict[str, float]]) -> set[str]:
 def node_measures(edges: DataFrame) -> DataFrame:
     """(node, community, betweenness, closeness, cut_vertex) of the thresholded graph."""
     graph = collected(edges)
-    group, central, cuts = communities(graph), centrality(graph), cut_vertices(graph)
+    group, central, cuts = communities(graph), centrality(graph, edges.sparkSession), cut_vertices(graph)
     rows = [(v, group[v], round(central[v][0], 12), round(central[v][1], 12), v in cuts) for v in sorted(graph)]
     return edges.sparkSession.createDataFrame(rows, "node string, community bigint, betweenness double, closeness double, cut_vertex boolean")
 

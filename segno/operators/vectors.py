@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Items up to which a spectral embedding is computed on the driver.
+from segno.plans import durable
+
+#: Items up to which a spectral embedding takes all eigenvectors of a dense matrix; beyond, only the leading ones of a sparse one.
 MOST_ITEMS = 3000
 
 
@@ -97,16 +101,58 @@ def listed_together(picks: DataFrame, least: int = 2) -> DataFrame:
     return pairs.groupBy(F.col("x.artist").alias("a"), F.col("y.artist").alias("b")).agg(F.round(F.sum(F.sqrt(F.col("x.w") * F.col("y.w"))), 6).alias("weight"))
 
 
+def leading(source: np.ndarray, target: np.ndarray, weight: np.ndarray, n: int, k: int, steps: int = 8, near: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` eigenvalues of largest size, and their vectors, of the symmetric matrix with ones on the diagonal and the given entries off it.
+
+    Block Krylov spaces with restarts from the best vectors so far, until no
+    residual exceeds ``near`` of the largest value, or a thousand times that
+    where rounding lets it shrink no further.
+    """
+    def times(q: np.ndarray) -> np.ndarray:
+        out = q.copy()
+        for j in range(q.shape[1]):
+            out[:, j] += np.bincount(source, weight * q[target, j], n) + np.bincount(target, weight * q[source, j], n)
+        return out
+
+    block = np.linalg.qr(np.random.default_rng(7).normal(size=(n, min(n, k + 8))))[0]
+    last = np.inf
+    for _ in range(1000):
+        basis, images = block, times(block)
+        new = images
+        for _ in range(steps - 1):
+            if basis.shape[1] + block.shape[1] > n:
+                break
+            for _ in range(2):  # once more against rounding
+                new = new - basis @ (basis.T @ new)
+            new = np.linalg.qr(new)[0]
+            new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
+            basis, new = np.hstack([basis, new]), times(new)
+            images = np.hstack([images, new])
+        values, turns = np.linalg.eigh((basis.T @ images + images.T @ basis) / 2)
+        order = np.argsort(-np.abs(values), kind="stable")[: block.shape[1]]
+        values, block = values[order], basis @ turns[:, order]
+        off = np.linalg.norm(images @ turns[:, order[:k]] - block[:, :k] * values[:k], axis=0).max() / np.abs(values[0])
+        if off <= near or off <= 1000 * near and off > last / 2:
+            return values[:k], block[:, :k]
+        last, block = off, np.linalg.qr(block)[0]
+    raise ValueError("the leading eigenvectors don't settle")
+
+
 def embed(pairs: DataFrame, weight: str, dims: int) -> DataFrame:
     """(item, embedding): items as unit rows of the leading eigenvectors of their symmetric weights, times the roots of the values."""
-    items = sorted({r["i"] for r in pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct().limit(MOST_ITEMS + 1).collect()})
-    if len(items) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items; raise the threshold")
+    pairs = durable(pairs.select("a", "b", F.col(weight).cast("double").alias("w")))
+    items = sorted(r["i"] for r in pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct().toLocalIterator())
     at = {v: k for k, v in enumerate(items)}
-    m = np.eye(len(items))
-    for r in pairs.select("a", "b", F.col(weight).cast("double").alias("w")).toLocalIterator():
-        m[at[r["a"]], at[r["b"]]] = m[at[r["b"]], at[r["a"]]] = r["w"]
-    values, vectors = np.linalg.eigh(m) if items else (np.zeros(0), np.zeros((0, 0)))
+    source, target, weights = array("q"), array("q"), array("d")
+    for r in pairs.toLocalIterator():
+        source.append(at[r["a"]]), target.append(at[r["b"]]), weights.append(r["w"])
+    i, j, w = np.array(source, dtype=np.int64), np.array(target, dtype=np.int64), np.array(weights)
+    if len(items) > MOST_ITEMS:
+        values, vectors = leading(i, j, w, len(items), dims)
+    else:
+        m = np.eye(len(items))
+        m[i, j] = m[j, i] = w
+        values, vectors = np.linalg.eigh(m) if items else (np.zeros(0), np.zeros((0, 0)))
     order = np.argsort(-np.abs(values), kind="stable")[:dims]
     rows = _rows(list(vectors[:, order] * np.abs(values[order]))) if items else []
     return pairs.sparkSession.createDataFrame([(v, [float(x) for x in rows[k]]) for k, v in enumerate(items)], "item string, embedding array<double>")

@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import numpy as np
@@ -178,6 +179,31 @@ def test_session_graph(plays_of):
     assert [(e.source, e.target, e.shared_sessions, e.jaccard) for e in edges] == [("a", "b", 1, 1.0)]
 
 
+def test_node_measures_of_a_graph_of_any_size(spark):
+    # a ring of 210,000 edges between 700 nodes, each with its next 300; weights by distance, and a tail that hangs on one
+    ring = spark.range(700).selectExpr("id AS a", "explode(sequence(1, 300)) AS k").selectExpr("a", "(a + k) % 700 AS b", "301 - k AS shared_sessions")
+    edges = ring.unionByName(spark.createDataFrame([(0, 9999, 1)], "a bigint, b bigint, shared_sessions int")).selectExpr("lpad(least(a, b), 4, '0') AS source", "lpad(greatest(a, b), 4, '0') AS target", "shared_sessions")
+    got = {r.node: r for r in G.node_measures(edges).collect()}
+    assert len(got) == 701 and [v for v, r in got.items() if r.cut_vertex] == ["0000"] and got["9999"].betweenness == 0
+    assert max(got.values(), key=lambda r: r.closeness).node == "0000"
+
+
+def test_centrality_in_tasks(spark):
+    rng = random.Random(4)
+    graph = {}
+    for _ in range(1500):
+        a, b = rng.sample(range(200), 2)
+        w = float(rng.choice([3, 4, 5, 8, 60]) * (20 if min(a, b) < 3 else 1))
+        graph.setdefault(str(a), {})[str(b)] = graph.setdefault(str(b), {})[str(a)] = w
+    links, at = G.shortest_links(graph), {v: k for k, v in enumerate(graph)}
+    whole = [[(at[u], 1 / w) for u, w in graph[v].items()] for v in graph]
+    assert sum(map(len, links)) < sum(map(len, whole))
+    between, close = G._between_and_close(whole, range(len(whole)))
+    scale = 1 / ((len(whole) - 1) * (len(whole) - 2))
+    for got in (G.centrality(graph), G.centrality(graph, spark)):
+        assert all(abs(got[v][0] - between[k] * scale) < 1e-12 and abs(got[v][1] - close[k]) < 1e-12 for v, k in at.items())
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(60, 8))
@@ -190,6 +216,23 @@ def test_nearest(spark):
         assert [got[q, k] for k in range(1, 6)] == np.argsort(-s)[:5].tolist()
 
 
+def test_embedding_of_many_items(spark):
+    rng = np.random.default_rng(5)
+    n = 3200
+    a, b = rng.integers(0, n, 12000), rng.integers(0, n, 12000)
+    rows = {(int(min(x, y)), int(max(x, y))): float(w) for x, y, w in zip(a, b, rng.random(12000) * (1 + 9 * (a < 40)), strict=True) if x != y}
+    rows |= {(k, k + 1): 0.1 for k in range(n - 1) if (k, k + 1) not in rows}
+    df = spark.createDataFrame([(f"{x:04}", f"{y:04}", w) for (x, y), w in rows.items()], "a string, b string, weight double")
+    got = np.array([r.embedding for r in V.embed(df, "weight", 8).orderBy("item").collect()])
+    m = np.eye(n)
+    for (x, y), w in rows.items():
+        m[x, y] = m[y, x] = w
+    values, vectors = np.linalg.eigh(m)
+    order = np.argsort(-np.abs(values))[:8]
+    want = V._rows(list(vectors[:, order] * np.abs(values[order])))
+    assert np.abs(np.abs(got) - np.abs(want)).max() < 1e-5 and np.abs(got @ got.T - want @ want.T).max() < 1e-5
+
+
 def test_diversified_and_sample(spark):
     df = spark.createDataFrame([("u", "a1", "a", 1.0), ("u", "a2", "a", 0.9), ("u", "b1", "b", 0.5), ("u", "c1", "c", 0.0)], "username string, item string, artist string, score double")
     assert [r.item for r in V.diversified(df, ["username"], "item", "artist", "score", 3).orderBy("place").collect()] == ["a1", "b1", "a2"]
