@@ -7,7 +7,7 @@ import pytest
 
 from segno.llm import runs as R
 from segno.llm.bpe import Transducer, Utf8Decoder, decode, encode_corpus, read_ranks
-from segno.llm.entities import match_albums, propagate, title_key
+from segno.llm.entities import _artist_fit, artist_heads, match_albums, propagate, title_key
 from segno.llm.language import fit, language_stretches, page_languages, wrong_labels
 from segno.llm.leaks import find_leaks, stream
 from segno.llm.lookalike import disguised_names, plain_names
@@ -139,6 +139,19 @@ def test_match_albums(spark, artists_of):
     assert match_albums(df.limit(0), releases, artists).count() == 0 and match_albums(df, releases.limit(0), artists).count() == 0
 
 
+def test_artists_with_any_slip_share_a_head(spark, artists_of):
+    rng = random.Random(8)
+    for _ in range(4000):
+        x = "".join(rng.choice("abcd") for _ in range(rng.randint(4, 10)))
+        i, c = rng.randrange(len(x)), rng.choice("abcd")
+        for y in (x[:i] + x[i + 1 :], x[:i] + c + x[i:], x[:i] + c + x[i + 1 :], x[:i] + x[i : i + 2][::-1] + x[i + 2 :], x[:i] + " " + x[i:]):
+            if _artist_fit([x], False, [y], False):
+                assert set(artist_heads([x])) & set(artist_heads([y])), (x, y)
+    releases = spark.createDataFrame([(1, "Hidden", "Keril Zage")], "id bigint, artist_credit string, title string")
+    df = spark.createDataFrame([("plays", "Idden", "Keril Zage")], "source_table string, artist string, title string")
+    assert [r.release_id for r in match_albums(df, releases, artists_of("Hidden")).collect()] == [1]
+
+
 def test_titles_damaged_near_both_ends(spark, artists_of):
     whole = {"Sog\ufffdn Liri \ufffd\ufffd\ufffd": "Sogón Liri Abé", "caf\ufffd noir": "Café Noir", "\ufffdbc\ufffdef\ufffd": "Abcdefg", "A\ufffdC\ufffdE\ufffdG": "Abcdefg"}
     releases = spark.createDataFrame(list({(t, "Ab Cdef") for t in whole.values()} | {("Café Brun", "Ab Cdef")}), "title string, artist_credit string").selectExpr("xxhash64(title) AS id", "artist_credit", "title")
