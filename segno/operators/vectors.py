@@ -158,18 +158,23 @@ def embed(pairs: DataFrame, weight: str, dims: int) -> DataFrame:
     return pairs.sparkSession.createDataFrame([(v, [float(x) for x in rows[k]]) for k, v in enumerate(items)], "item string, embedding array<double>")
 
 
-def diversified(scored: DataFrame, by: list[str], item: str, group: str, score: str, n: int, balance: float = 0.7, pool: int = 200) -> DataFrame:
-    """(…, item, place): ``n`` items of each owner that trade relevance (0 to 1 over the pool) for a group not yet chosen.
+def diversified(scored: DataFrame, by: list[str], item: str, group: str, score: str, n: int, balance: float = 0.7) -> DataFrame:
+    """(…, item, place): ``n`` items of each owner that trade relevance (0 to 1 over all of the owner's items) for a group not yet chosen.
 
-    The pool is an owner's ``pool`` items of the highest score, found before
-    anything is grouped; the greedy choice runs on that.
+    The greedy choice runs on an owner's ``n`` best items and the best item of
+    each of the ``n`` best groups: each step takes the best item left or the
+    best one of a group not yet chosen, and at most n - 1 of either are gone.
     """
-    order = Window.partitionBy(*by).orderBy(F.desc(score), item)
-    top = scored.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= pool).drop("_k").select(*by, item, group, score)
+    owner = Window.partitionBy(*by)
+    order = owner.orderBy(F.desc(score), item)
+    ranked = scored.select(*by, item, group, score).withColumn("_g", F.row_number().over(Window.partitionBy(*by, group).orderBy(F.desc(score), item)) == 1)
+    ranked = ranked.withColumn("_k", F.row_number().over(order)).withColumn("_r", F.sum(F.col("_g").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bounded = ranked.withColumn("_low", F.min(score).over(owner).cast("double")).withColumn("_high", F.max(score).over(owner).cast("double"))
+    top = bounded.where((F.col("_k") <= n) | F.col("_g") & (F.col("_r") <= n)).select(*by, item, group, score, "_low", "_high")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf.sort_values([score, item], ascending=[False, True], kind="stable").reset_index(drop=True)
-        low, high = float(left[score].min()), float(left[score].max())
+        low, high = float(left["_low"].iloc[0]), float(left["_high"].iloc[0])
         relevance = ((left[score].astype(float) - low) / (high - low) if high > low else left[score] * 0.0 + 1.0).tolist()
         groups, chosen, used = left[group].tolist(), [], set()
         rest = list(range(len(left)))

@@ -239,6 +239,25 @@ def test_diversified_and_sample(spark):
     assert V.weighted_sample(df, "item", "score", 2).collect() == V.weighted_sample(df, "item", "score", 2).collect()
 
 
+def test_diversified_chooses_from_all_items(spark):
+    # the first 250 items are of one group; the lowest item of all bounds relevance
+    rows = [("u", f"a{k:03}", "a", 1.0 - k / 1000) for k in range(250)] + [("u", "b", "b", 0.72), ("u", "c", "c", 0.71), ("u", "z", "a", 0.0)]
+    rng = random.Random(6)
+    rows += [("v", f"i{k}", rng.choice("abcdefgh"), float(rng.randint(0, 40))) for k in range(400)]
+    want = []
+    for user in "uv":
+        left, used = sorted([r[1:] for r in rows if r[0] == user], key=lambda r: (-r[2], r[0])), set()
+        low, high = left[-1][2], left[0][2]
+        for place in range(1, 11):
+            best = max(left, key=lambda r: 0.7 * ((r[2] - low) / (high - low)) + (1 - 0.7) * (r[1] not in used))
+            want.append((user, place, best[0]))
+            used.add(best[1])
+            left.remove(best)
+    df = spark.createDataFrame(rows, "username string, item string, artist string, score double")
+    got = V.diversified(df, ["username"], "item", "artist", "score", 10).collect()
+    assert sorted((r.username, r.place, r["item"]) for r in got) == want
+
+
 def test_match_key(spark):
     names = [("  The Beat, les! ", "beat les"), ("Björk", "björk"), ("the  ", "the"), ("!!!", ""), (None, None)]
     rows = spark.createDataFrame(names, "n string, k string").withColumn("got", K.match_key(F.col("n"))).collect()
