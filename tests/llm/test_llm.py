@@ -255,6 +255,35 @@ def test_leaks(spark):
     assert stream("Fae-skogamez, 1t") == stream("faeskogamez It")
 
 
+def test_leaks_need_the_same_figures_and_names(spark):
+    item = "The fire at Sorosby began near Stemund Silerini's stable and burnt 644 sacks of corn, but the new magistrate from Donathona was unhurt by it."
+    words = item.split()
+    texts = {
+        1: " ".join(words[:13]) + " hay",  # 13 words
+        2: item.replace("644", "645"),
+        3: item.replace("644", "1644"),
+        4: " ".join(item.replace("Silerini", "Gakuwoth").split()[:19]),
+        5: item.replace("Donathona", "Dcnathoua").replace("Silerini", "Sileriui").replace("burnt", "bur.t").replace("644", "6\u200b44"),
+        6: item.replace("644 sacks", "64 4sacks"),
+        7: item.replace("burnt 644 sacks of corn", "burnt\n" + "\n".join("An advert that goes on for many lines, 12 pence." for _ in range(40)) + "\n644 sacks of corn"),
+        8: item.replace("a", "o", 1).replace("the new", "tlie ncw"),
+        9: item.replace("644", "64s"),
+    }
+    df = spark.createDataFrame([(i, "Some words go before it.\n" + t + "\nAnd some behind.") for i, t in texts.items()], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_words for r in find_leaks(df, spark.createDataFrame([(5, item)], "item_id bigint, text string")).collect()}
+    assert got == {5: 25, 6: 25, 7: 25, 8: 25, 9: 25}, got
+    short = " ".join(words[12:])  # "644 sacks ..." of 12 words
+    assert find_leaks(spark.createDataFrame([(1, "burnt 1" + short)], "doc_id bigint, text string"), spark.createDataFrame([(5, short)], "item_id bigint, text string"), 12).count() == 0
+    assert find_leaks(spark.createDataFrame([(1, "burnt " + short)], "doc_id bigint, text string"), spark.createDataFrame([(5, short)], "item_id bigint, text string"), 12).count() == 1
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr("segno.llm.leaks.BLOCK_LETTERS", 100)
+    items = spark.createDataFrame([(k, ITEM + f" Word{k}") for k in range(3)], "item_id bigint, text string")
+    df = spark.createDataFrame([(1, ITEM)], "doc_id bigint, text string")
+    assert sorted(r.item_id for r in find_leaks(df, items).collect()) == [0, 1, 2]
+
+
 EN = "the harbour board had never seen the old stone bridge and the night watchman thanked them for their help last night\nnothing more has been heard of the widow since she left with the evening train before the end of the month"
 DE = "der alte Lehrer hat von dem Hafenmeister nichts mehr gehört und wurde gefragt ob die Arbeiter bis zum Winter fertig würden\ndas Feuer brach im Stall aus und verbrannte alle Säcke Korn aber die Feuerwehr blieb unverletzt und dankte allen"
 
