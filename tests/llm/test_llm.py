@@ -267,7 +267,7 @@ def test_leaks_need_the_same_figures_and_names(spark):
         6: item.replace("644 sacks", "64 4sacks"),
         7: item.replace("burnt 644 sacks of corn", "burnt\n" + "\n".join("An advert that goes on for many lines, 12 pence." for _ in range(40)) + "\n644 sacks of corn"),
         8: item.replace("a", "o", 1).replace("the new", "tlie ncw"),
-        9: item.replace("644", "64s"),
+        9: item.replace("644", "b44"),
     }
     df = spark.createDataFrame([(i, "Some words go before it.\n" + t + "\nAnd some behind.") for i, t in texts.items()], "doc_id bigint, text string")
     got = {r.doc_id: r.n_words for r in find_leaks(df, spark.createDataFrame([(5, item)], "item_id bigint, text string")).collect()}
