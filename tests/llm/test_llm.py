@@ -272,9 +272,11 @@ def test_leaks_need_the_same_figures_and_names(spark):
     df = spark.createDataFrame([(i, "Some words go before it.\n" + t + "\nAnd some behind.") for i, t in texts.items()], "doc_id bigint, text string")
     got = {r.doc_id: r.n_words for r in find_leaks(df, spark.createDataFrame([(5, item)], "item_id bigint, text string")).collect()}
     assert got == {5: 25, 6: 25, 7: 25, 8: 25, 9: 25}, got
-    short = " ".join(words[12:])  # "644 sacks ..." of 12 words
-    assert find_leaks(spark.createDataFrame([(1, "burnt 1" + short)], "doc_id bigint, text string"), spark.createDataFrame([(5, short)], "item_id bigint, text string"), 12).count() == 0
-    assert find_leaks(spark.createDataFrame([(1, "burnt " + short)], "doc_id bigint, text string"), spark.createDataFrame([(5, short)], "item_id bigint, text string"), 12).count() == 1
+    at = words.index("644")
+    short, n = " ".join(words[at:]), len(words) - at
+    items = spark.createDataFrame([(5, short)], "item_id bigint, text string")
+    pages = spark.createDataFrame([(1, "burnt 1" + short), (2, "burnt " + short)], "doc_id bigint, text string")
+    assert [r.doc_id for r in find_leaks(pages, items, n).collect()] == [2]
 
 
 def test_blocks_of_items(spark, monkeypatch):
