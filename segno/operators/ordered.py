@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segno.plans import durable
+
 
 def in_order(df: DataFrame, entity: str, time: str, *, partitions: int | None = None) -> DataFrame:
     """Rows with an entity and a time, range-partitioned by both.  Rows without either have no place in an order and are left out."""
@@ -62,6 +64,12 @@ class Rows:
         return out
 
 
-def stitch(parts: DataFrame, entity: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Bring together, per entity, what partitions left open: a few rows for each partition, whatever the entity's size."""
-    return parts.groupBy(entity).applyInPandas(fn, schema)
+def stitch(scanned: DataFrame, entity: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What a scan finished, and what ``fn`` makes, per entity, of the rows that it left ``open``: a few for each partition, whatever the entity's size.
+
+    The scan runs once: its rows, one for each finished part and not for each
+    event, are written before the two kinds go different ways.
+    """
+    scanned = durable(scanned)
+    finished, left = scanned.where("NOT open").drop("open"), scanned.where("open")
+    return finished.unionByName(left.groupBy(entity).applyInPandas(fn, schema))

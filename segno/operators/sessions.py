@@ -65,13 +65,13 @@ def _spine(gaps: np.ndarray) -> np.ndarray:
     return np.flatnonzero((gaps > before) | (gaps > after))
 
 
-_OUT = ["start_ts", "end_ts", "n_events", "gap", "parent_gap", "chunk", "done"]
+_OUT = ["start_ts", "end_ts", "n_events", "gap", "parent_gap", "chunk", "open"]
 
 
-def _chunk(name, times: np.ndarray, is_open: bool, entity: str) -> pd.DataFrame:
+def _chunk(name, times: np.ndarray, is_open: bool, entity: str, cut: int | None) -> pd.DataFrame:
     ones = np.ones(len(times), dtype=np.int64)
     if not is_open:
-        rows = [(*r, 0, True) for r in subtrees(times, times, ones, OPEN, OPEN)]
+        rows = [(*r, 0, False) for r in subtrees(times, times, ones, OPEN, OPEN) if cut is None or r[3] <= cut < r[4]]
     else:
         cuts = [-1, *_spine(np.diff(times)).tolist(), len(times) - 1]
         rows, gaps = [], np.diff(times)
@@ -79,20 +79,21 @@ def _chunk(name, times: np.ndarray, is_open: bool, entity: str) -> pd.DataFrame:
             block = times[a + 1 : b + 1]
             inner = 0 < k < len(cuts) - 2
             if inner:
-                rows += [(*r, 0, True) for r in subtrees(block, block, ones[: len(block)], int(gaps[a]), int(gaps[b]))]
-            rows.append((int(block[0]), int(block[-1]), len(block), int(inner), 0, k, False))
+                rows += [(*r, 0, False) for r in subtrees(block, block, ones[: len(block)], int(gaps[a]), int(gaps[b])) if cut is None or r[3] <= cut < r[4]]
+            rows.append((int(block[0]), int(block[-1]), len(block), int(inner), 0, k, True))
     out = pd.DataFrame(rows, columns=_OUT)
     out.insert(0, entity, name)
     return out
 
 
-def gap_tree(events: DataFrame, entity: str, time: str) -> DataFrame:
+def gap_tree(events: DataFrame, entity: str, time: str, cut: int | None = None) -> DataFrame:
     """The gap tree of each entity: (entity, start_ts, end_ts, n_events, gap, parent_gap), a row per subtree.
 
     ``time`` is in whole units (seconds).  Rows without entity or time are left
     out; rows of equal time are events with a gap of 0.  An entity of any size
     is built in chunks; of each chunk only the gaps that rise towards an end
-    are open, and a second pass joins those per entity.  Other columns of
+    are open, and a second pass joins those per entity.  With ``cut`` only the
+    subtrees that are sessions at this threshold come out.  Other columns of
     ``events`` don't matter.  An empty table gives an empty tree.
     """
     kind = events.schema[entity].dataType.simpleString()
@@ -102,7 +103,7 @@ def gap_tree(events: DataFrame, entity: str, time: str) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for name, pdf, first, last in by_entity(batches, entity):
-            held.append(_chunk(name, pdf["_time"].to_numpy(dtype=np.int64), first or last, entity))
+            held.append(_chunk(name, pdf["_time"].to_numpy(dtype=np.int64), first or last, entity, cut))
             n += len(held[-1])
             if n > 50_000:
                 yield pd.concat(held, ignore_index=True)
@@ -114,12 +115,13 @@ def gap_tree(events: DataFrame, entity: str, time: str) -> DataFrame:
         pdf = pdf.sort_values(["start_ts", "chunk"], kind="stable")
         start, end, count = (pdf[c].to_numpy(dtype=np.int64) for c in ("start_ts", "end_ts", "n_events"))
         out = pd.DataFrame(subtrees(start, end, count, OPEN, OPEN, pdf["gap"].to_numpy() == 1), columns=_OUT[:5])
+        if cut is not None:
+            out = out[(out["gap"] <= cut) & (out["parent_gap"] > cut)]
         out.insert(0, entity, pdf[entity].iloc[0])
-        return out
+        return out.assign(chunk=0)
 
-    scanned = rows.mapInPandas(scan, schema + ", chunk bigint, done boolean")
-    done = scanned.where("done").drop("chunk", "done")
-    return done.unionByName(stitch(scanned.where("NOT done"), entity, join, schema))
+    scanned = rows.mapInPandas(scan, schema + ", chunk bigint, open boolean")
+    return stitch(scanned, entity, join, schema + ", chunk bigint").drop("chunk")
 
 
 def cut_tree(tree: DataFrame, gap: int) -> DataFrame:
@@ -130,7 +132,7 @@ def cut_tree(tree: DataFrame, gap: int) -> DataFrame:
 
 def sessions(events: DataFrame, entity: str, time: str, gap: int = 1800) -> DataFrame:
     """(entity, start_ts, end_ts, n_events, duration) of each session, also those of one event."""
-    return cut_tree(gap_tree(events, entity, time), gap)
+    return cut_tree(gap_tree(events, entity, time, gap), gap)
 
 
 def assign_sessions(events: DataFrame, entity: str, time: str, gap: int = 1800, tie: str | None = None, chunk: int = 86_400) -> DataFrame:
