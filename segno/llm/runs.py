@@ -77,7 +77,7 @@ def collapse_runs(plays: DataFrame, gap: int = 1800, least: int = 2) -> DataFram
         return out.frame()
 
     scanned = plays.mapInPandas(scan, _SCHEMA + ", open boolean")
-    runs = scanned.where("NOT open").drop("open").unionByName(stitch(scanned.where("open"), "username", join, _SCHEMA))
+    runs = stitch(scanned, "username", join, _SCHEMA)
     return runs.selectExpr("username", "first_uts", "last_uts", "n_plays", "last_uts - first_uts AS duration", "artist_id", "base", "mark")
 
 
