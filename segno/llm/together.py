@@ -70,7 +70,7 @@ def session_baskets(plays: DataFrame, artists: DataFrame, gap: int = 1800) -> Da
         return out.frame()
 
     scanned = rows.mapInPandas(scan, _BASKET + ", open boolean")
-    return scanned.where("NOT open").drop("open").unionByName(stitch(scanned.where("open"), "username", join, _BASKET))
+    return stitch(scanned, "username", join, _BASKET)
 
 
 def pair_counts(baskets: DataFrame, items: str, least: int = 1, share: int | None = None, times: int | None = None) -> DataFrame:
