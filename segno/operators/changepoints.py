@@ -70,39 +70,48 @@ def transformed(counts: np.ndarray, how: str) -> np.ndarray:
 def best_cuts(x: np.ndarray, penalty: float, least: int) -> list[int]:
     """Where to cut rows so that squared distances to the segments' means plus a penalty for each cut are smallest.
 
-    Exact: every last cut is tried for every prefix.  Of equal costs the fewer
-    cuts win, then the earlier ones.
+    Exact: for every row that may begin a segment, from the last backwards,
+    every end of it is tried; a row keeps only its cost, its cuts and where
+    the next segment begins.  Of equal costs the fewer cuts win, then the
+    earlier ones; costs are equal that differ by rounding only, measured on
+    the spread of the rows themselves, whatever their scale.
     """
     n = len(x)
+    x = x - x.mean(axis=0) if n else x
     sums, squares = np.vstack([np.zeros(x.shape[1]), np.cumsum(x, axis=0)]), np.concatenate([[0.0], np.cumsum((x * x).sum(axis=1))])
-    best: list[tuple[float, int, tuple[int, ...]] | None] = [None] * (n + 1)
-    best[0] = (0.0, 0, ())
-    for end in range(least, n + 1):
-        starts = np.array([s for s in range(0, end - least + 1) if best[s] is not None])
-        if not len(starts):
+    slack = 1e-12 * (squares[n] + abs(penalty))
+    cost, cuts, then = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64), np.full(n + 1, -1)
+    cost[n] = 0.0
+    for start in range(n - least, -1, -1):
+        ends = np.arange(start + least, n + 1)
+        part = sums[ends] - sums[start]
+        inside = np.maximum(squares[ends] - squares[start] - (part * part).sum(axis=1) / (ends - start), 0.0)
+        more = ends < n
+        options, counts = inside + cost[ends] + penalty * more, cuts[ends] + more
+        low = options.min()
+        if not np.isfinite(low):
             continue
-        part = sums[end] - sums[starts]
-        inside = np.maximum(squares[end] - squares[starts] - (part * part).sum(axis=1) / (end - starts), 0.0)
-        options = []
-        for s, cost in zip(starts.tolist(), inside.tolist(), strict=True):
-            before = best[s]
-            cuts = before[2] + ((s,) if s else ())
-            options.append((before[0] + cost + (penalty if s else 0.0), len(cuts), cuts))
-        low = min(o[0] for o in options)
-        best[end] = min((o for o in options if o[0] <= low + 1e-12), key=lambda o: (o[1], o[2]))
-    return list(best[n][2]) if best[n] else []
+        near = np.flatnonzero(options <= low + slack)
+        best = near[np.argmin(counts[near])]  # the first of them, so the earliest end
+        cost[start], cuts[start], then[start] = options[best], counts[best], ends[best]
+    out, at = [], then[0] if n else -1
+    while 0 < at < n:
+        out.append(int(at))
+        at = then[at]
+    return out
 
 
 def noise(x: np.ndarray) -> float:
-    """Variance of the noise: half the median squared step between neighbours for each dimension, else the smallest positive one."""
-    steps = (np.diff(x, axis=0) ** 2).sum(axis=1) / (2 * max(1, x.shape[1]))
+    """Variance of the noise: half the median squared step between neighbours for each dimension that varies, else the smallest positive one."""
+    active = int((x.var(axis=0) > 0).sum()) if len(x) else 0
+    steps = (np.diff(x, axis=0) ** 2).sum(axis=1) / (2 * max(1, active))
     mid = float(np.median(steps)) if len(steps) else 0.0
     positive = steps[steps > 0]
     return mid if mid > 0 else float(positive.min()) if len(positive) else 0.0
 
 
 def change_points(plays: DataFrame, by: list[str], spec: Segmentation = Segmentation()) -> DataFrame:
-    """(…, segment, first_bin, last_bin, bins, plays): the segments of each owner's history.
+    """(…, segment, first_bin, last_bin, bins, plays, distance): the segments of each owner's history, and how far each one's centre is from that before.
 
     Counting is distributed; the exact search runs per owner on a matrix of
     bins by vocabulary, whose size is the calendar's and not the log's.
@@ -112,14 +121,57 @@ def change_points(plays: DataFrame, by: list[str], spec: Segmentation = Segmenta
     def segment(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="bin", columns="artist", values="n", aggfunc="sum", fill_value=0).sort_index()
         x = transformed(wide.to_numpy(), spec.transform)
-        active = int((x.std(axis=0) > 1e-12).sum())
+        active = 0 if np.allclose(x, x[0], atol=1e-12, rtol=0) else int((x.var(axis=0) > 0).sum())
         cuts = [] if not active or len(x) < 2 * spec.least else best_cuts(x, spec.penalty * noise(x) * active * np.log(len(x)), spec.least)
         edges = [0, *cuts, len(x)]
         total, bins = wide.sum(axis=1).to_numpy(), list(wide.index)
-        out = pd.DataFrame([(k, bins[a], bins[b - 1], b - a, int(total[a:b].sum())) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))], columns=["segment", "first_bin", "last_bin", "bins", "plays"])
+        parts = list(zip(edges, edges[1:], strict=False))
+        centres = [x[a:b].mean(axis=0) for a, b in parts]
+        away = [None, *(round(float(np.linalg.norm(q - p)), 10) for p, q in zip(centres, centres[1:], strict=False))]
+        rows = [(k, bins[a], bins[b - 1], b - a, int(total[a:b].sum()), away[k]) for k, (a, b) in enumerate(parts)]
+        out = pd.DataFrame(rows, columns=["segment", "first_bin", "last_bin", "bins", "plays", "distance"])
         for i, c in enumerate(by):
             out.insert(i, c, pdf[c].iloc[0])
         return out
 
     kinds = "".join(f"`{c}` {counts.schema[c].dataType.simpleString()}, " for c in by)
-    return counts.groupBy(*by).applyInPandas(segment, kinds + "segment bigint, first_bin string, last_bin string, bins bigint, plays bigint")
+    return counts.groupBy(*by).applyInPandas(segment, kinds + "segment bigint, first_bin string, last_bin string, bins bigint, plays bigint, distance double")
+
+
+def segment_artists(plays: DataFrame, by: list[str], spec: Segmentation, segments: DataFrame) -> DataFrame:
+    """(…, segment, artist, n, share): plays of each artist of the vocabulary in each segment and their share of it, zeros included."""
+    inside = [F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by]
+    counts = bin_counts(plays, by, spec).alias("c")
+    met = counts.join(segments.alias("s"), [*inside, F.col("c.bin") >= F.col("s.first_bin"), F.col("c.bin") <= F.col("s.last_bin")])
+    each = met.groupBy(*[F.col(f"c.{c}").alias(c) for c in by], "segment", "artist").agg(F.sum("n").alias("n"))
+    return each.withColumn("share", F.coalesce(F.try_divide("n", F.sum("n").over(Window.partitionBy(*by, "segment"))), F.lit(0.0)))
+
+
+def _names(rows: Column, n: int) -> Column:
+    return F.array_join(F.transform(F.slice(F.sort_array(rows), 1, n), lambda r: F.concat_ws(":", r["artist"], F.round(r["v"], 6).cast("string"))), "|")
+
+
+def segment_report(plays: DataFrame, by: list[str], spec: Segmentation, segments: DataFrame, most: int = 5) -> DataFrame:
+    """Per segment, beside bins and plays: plays per bin, distinct artists (a blank name is one), empty bins, first artists with their shares."""
+    bins = plays.select(*by, bin_start(spec.bins).cast("string").alias("bin"), F.coalesce("artist", F.lit("")).alias("artist")).distinct()
+    inside = [F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    met = bins.alias("b").join(segments.alias("s"), [*inside, F.col("b.bin") >= F.col("s.first_bin"), F.col("b.bin") <= F.col("s.last_bin")])
+    own = met.groupBy(*[F.col(f"s.{c}").alias(c) for c in by], "segment").agg(F.countDistinct("b.artist").alias("unique_artists"), F.countDistinct("b.bin").alias("full_bins"))
+    row = F.when(F.col("share") > 0, F.struct((-F.col("share")).alias("k"), "artist", F.col("share").alias("v")))
+    tops = segment_artists(plays, by, spec, segments).groupBy(*by, "segment").agg(_names(F.collect_list(row), most).alias("top_shares"))
+    out = segments.join(own, [*by, "segment"], "left").join(tops, [*by, "segment"], "left")
+    rate = F.round(F.col("plays") / F.col("bins"), 6).alias("plays_per_bin")
+    return out.select(*by, "segment", "first_bin", "last_bin", "bins", "plays", rate, F.coalesce("unique_artists", F.lit(0)).alias("unique_artists"), (F.col("bins") - F.coalesce("full_bins", F.lit(0))).alias("empty_bins"), "top_shares")
+
+
+def change_report(plays: DataFrame, by: list[str], spec: Segmentation, segments: DataFrame, most: int = 5) -> DataFrame:
+    """Per change: the bin where the new segment begins, the distance of the centres, the change of plays per bin, and the artists whose shares change most."""
+    w = Window.partitionBy(*by).orderBy("segment")
+    rate = F.col("plays") / F.col("bins")
+    changes = segments.withColumn("rate_change", F.round(rate - F.lag(rate).over(w), 6)).where("segment > 0")
+    each = segment_artists(plays, by, spec, segments)
+    moved = each.withColumn("d", F.col("share") - F.lag("share").over(Window.partitionBy(*by, "artist").orderBy("segment"))).where("abs(d) > 1e-15")
+    row = F.struct((-F.abs("d")).alias("k"), "artist", F.col("d").alias("v"))
+    tops = moved.groupBy(*by, "segment").agg(_names(F.collect_list(row), most).alias("top_changes"))
+    out = changes.join(tops, [*by, "segment"], "left")
+    return out.select(*by, F.col("segment").alias("change"), F.col("first_bin").alias("bin"), "distance", "rate_change", F.coalesce("top_changes", F.lit("")).alias("top_changes"))

@@ -6,18 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segno.functions.similarity import ratio_col
-
-
-def stripped(c: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
-def match_key(c: Column) -> Column:
-    """Key for matching names: lower case, no leading "the ", letters, digits and underscores only, single blanks."""
-    s = F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"^the ", ""), r"(?U)[^\p{L}\p{N}_\s]", "")
-    return F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), r"(?U)^\s+|\s+$", "")
+from segno.functions.text import match_key, stripped
 
 
 def keyed(df: DataFrame, artist: str = "artist", title: str = "title") -> DataFrame:

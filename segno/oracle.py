@@ -111,6 +111,44 @@ EDGES = """nd0 AS (SELECT username, session_start, lower(artist) AS node FROM ss
 T0 = 1433116800  # 2015-06-01
 _CASE = f"CASE WHEN uts >= {T0} - 120 * 86400 AND uts < {T0} - 30 * 86400 OR uts >= {T0} + 37 * 86400 AND uts < {T0} + 127 * 86400 THEN 'baseline' WHEN uts >= {T0} - 30 * 86400 AND uts < {T0} THEN 'pre' WHEN uts >= {T0} AND uts < {T0} + 7 * 86400 THEN 'event' WHEN uts >= {T0} + 7 * 86400 AND uts < {T0} + 37 * 86400 THEN 'post' END"
 WIN = f"w AS (SELECT * FROM (SELECT *, {_CASE} AS period FROM p) WHERE period IS NOT NULL)"
+_BEFORE = f"uts >= {T0} - 120 * 86400 AND uts < {T0} - 30 * 86400"
+_AFTER = f"uts >= {T0} + 37 * 86400 AND uts < {T0} + 127 * 86400"
+_DAYS = "(CASE period WHEN 'baseline' THEN 180.0 WHEN 'baseline_before' THEN 90.0 WHEN 'baseline_after' THEN 90.0 WHEN 'event' THEN 7.0 ELSE 30.0 END)"
+WIN6 = f"""{WIN}, w6 AS (SELECT * FROM w UNION ALL SELECT *, 'baseline_before' FROM p WHERE {_BEFORE} UNION ALL SELECT *, 'baseline_after' FROM p WHERE {_AFTER})"""
+
+
+def _strip(c: str) -> str:
+    return f"nullif(regexp_replace({c}, '^[{WS}]+|[{WS}]+$', '', 'g'), '')"
+
+
+def _cohorts(grain: str, cohort: str, low: str, high: str, least: int, offsets: tuple[int, ...]) -> str:
+    end = "least(hi, fin)" if grain == "month" else f"least({high} * 12 + 11, fin)"
+    name = "printf('%04d-%02d', s.cohort // 12, s.cohort % 12 + 1)" if grain == "month" else "printf('%04d', s.cohort)"
+    ks = ", ".join(f"({k})" for k in offsets)
+    return f"""WITH {P}, {CNT}, f0 AS (SELECT username, lower(artist) AS key, min(year * 12 + month - 1) AS d, min({cohort}) AS cohort FROM p WHERE trim(artist) <> '' GROUP BY ALL),
+ f AS (SELECT f0.* FROM f0 JOIN c ON c.username = f0.username AND c.key = f0.key AND c.period = d WHERE c.n >= {least}),
+ b AS (SELECT username, min({cohort}) AS lo, max({cohort}) AS hi, max(year * 12 + month - 1) FILTER (trim(artist) <> '') AS fin FROM p GROUP BY ALL),
+ s AS (SELECT username, unnest(generate_series({low}, {high})) AS cohort FROM b), o(k) AS (VALUES {ks}),
+ g AS (SELECT f.username, f.cohort, k, count(*) AS eligible, count(*) FILTER (coalesce(c.n, 0) >= 1) AS retained FROM f JOIN b USING (username) CROSS JOIN o LEFT JOIN c ON c.username = f.username AND c.key = f.key AND c.period = d + k WHERE d + k <= {end} GROUP BY ALL)
+ SELECT s.username, {name} AS cohort, CAST(o.k AS BIGINT) AS "offset", coalesce(eligible, 0) AS eligible, coalesce(retained, 0) AS retained, round(retained / eligible, 6) AS rate
+ FROM s CROSS JOIN o LEFT JOIN g ON g.username = s.username AND g.cohort = s.cohort AND g.k = o.k"""
+
+
+def _compared(entity: str, top_n: int) -> str:
+    names, raw = ("a", f"{_strip('artist')} AS a") if entity == "artist" else ("a, b", f"{_strip('artist')} AS a, {_strip(entity)} AS b")
+    out = "a AS artist" if entity == "artist" else f"a AS artist, b AS {entity}"
+    full = "a IS NOT NULL" if entity == "artist" else "a IS NOT NULL AND b IS NOT NULL"
+    e = {"pre": "(30 / 180)", "event": "(7 / 180)", "post": "(30 / 180)"}
+    ps = ("baseline", "pre", "event", "post")
+    of = ", ".join(f"coalesce(max(n) FILTER (period = '{q}'), 0) AS {q}_plays, coalesce(max(share) FILTER (period = '{q}'), 0) AS {q}_share0" for q in ps)
+    expected = ", ".join(f"round(baseline_plays * {x}, 6) AS {q}_expected, CASE WHEN baseline_plays > 0 THEN round(({q}_plays - baseline_plays * {x}) / sqrt(baseline_plays * {x}), 6) END AS {q}_residual" for q, x in e.items())
+    return f"""WITH {P}, {WIN}, al AS (SELECT username, period, count(*) AS o FROM w GROUP BY ALL), n AS (SELECT username, period, {raw} FROM w), c AS (SELECT username, period, {names}, count(*) AS n FROM n WHERE {full} GROUP BY ALL),
+ r AS (SELECT *, round(n / o, 10) AS share, row_number() OVER (PARTITION BY username, period ORDER BY n DESC, {names}) AS k FROM c JOIN al USING (username, period)),
+ g AS (SELECT username, {names}, {of} FROM r GROUP BY ALL HAVING min(k) <= {top_n}), h AS (SELECT username, {names}, min(uts) AS u FROM (SELECT username, uts, {raw} FROM p) WHERE {full} GROUP BY ALL)
+ SELECT username, {out}, row_number() OVER (PARTITION BY username ORDER BY abs(round(post_share0 - pre_share0, 10)) DESC, post_plays DESC, {names}) AS place, {", ".join(f"{q}_plays" for q in ps)}, {", ".join(f"round({q}_share0, 6) AS {q}_share" for q in ps)}, {expected},
+ post_plays - pre_plays AS change, round(round(post_share0 - pre_share0, 10), 6) AS share_change, {", ".join(f"{q}_plays > 0 AS in_{q}" for q in ps)}, u >= {T0} AND u < {T0} + 7 * 86400 AS first_in_event FROM g JOIN h USING (username, {names})"""
+
+
 BINS = """b0 AS (SELECT username, CAST(date_trunc('month', ts) AS DATE) AS bin, coalesce(artist, '') AS artist, count(*) AS n FROM p GROUP BY ALL),
  vk AS (SELECT username, artist FROM (SELECT username, artist, row_number() OVER (PARTITION BY username ORDER BY sum(n) DESC, artist) AS k FROM b0 GROUP BY username, artist) WHERE k <= 5),
  sp AS (SELECT username, CAST(unnest(generate_series(min(bin), max(bin), INTERVAL 1 MONTH)) AS DATE) AS bin FROM b0 GROUP BY username),
@@ -132,26 +170,44 @@ SQL |= {
  co AS (SELECT username, session_start, list_sort(list(DISTINCT artist)) AS l FROM ss WHERE artist <> '' GROUP BY ALL)
  SELECT username, artist, first_uts, coalesce(array_to_string(list_filter(l, lambda x: x <> artist), '|'), '') AS others FROM st JOIN co USING (username, session_start)""",
     "trajectory_timeline": f"WITH {P}, {CNT}, {LINE} SELECT * FROM line",
-    "trajectory_summary": f"""WITH {P}, {CNT}, {LINE}, g AS (SELECT username, key, sum(plays) AS plays, count(*) FILTER (active) AS active_periods, count(*) AS periods, min(period) FILTER (active) AS f, max(period) FILTER (active) AS l FROM line GROUP BY ALL)
- SELECT username, key, CAST(plays AS BIGINT) AS plays, active_periods, round(active_periods / periods, 6) AS active_share, coalesce(l - f + 1, 0) AS span, CASE WHEN l IS NOT NULL THEN round(active_periods / (l - f + 1), 6) END AS span_share FROM g""",
+    "trajectory_summary": f"""WITH {P}, {CNT}, {LINE}, g AS (SELECT username, key, sum(plays) AS plays, count(*) FILTER (active) AS active_periods, count(*) AS periods,
+ min(period) FILTER (active) AS f, max(period) FILTER (active) AS l FROM line GROUP BY ALL), t AS (SELECT username, lower(artist) AS key, min(uts) AS first_uts, max(uts) AS last_uts FROM p WHERE year BETWEEN 2010 AND 2015 GROUP BY ALL)
+ SELECT g.username, g.key, CAST(plays AS BIGINT) AS plays, periods, active_periods, round(active_periods / periods, 6) AS active_share, coalesce(l - f + 1, 0) AS span,
+ CASE WHEN l IS NOT NULL THEN round(active_periods / (l - f + 1), 6) END AS span_share, first_uts, last_uts FROM g LEFT JOIN t USING (username, key)""",
+    "trajectory_batch": f"""WITH {P}, {CNT}, q(ordinal, asked) AS (VALUES (0, 'the paper estuaries'), (1, 'Nobody At All'), (2, 'THE SOFT BEACONS')),
+ sp AS (SELECT username, lower(artist) AS key, artist, count(*) AS n FROM p GROUP BY ALL), sh AS (SELECT username, key, first(artist ORDER BY n DESC, artist) AS shown FROM sp GROUP BY ALL),
+ w AS (SELECT username, key, CAST(sum(n) AS BIGINT) AS plays, count(*) FILTER (n >= 2) AS active_periods FROM c WHERE period BETWEEN 24120 AND 24191 GROUP BY ALL)
+ SELECT u.username, CAST(ordinal AS BIGINT) AS ordinal, asked, CASE WHEN shown IS NULL THEN 'not_found' ELSE 'ok' END AS status, shown, coalesce(plays, 0) AS plays, coalesce(active_periods, 0) AS active_periods
+ FROM (SELECT DISTINCT username FROM p) u CROSS JOIN q LEFT JOIN sh ON sh.username IS NOT DISTINCT FROM u.username AND sh.key = lower(asked) LEFT JOIN w ON w.username = u.username AND w.key = lower(asked)""",
+    "trajectory_observation": f"""WITH {P}, {CNT}, {LINE}, g AS (SELECT username, key, min(period) FILTER (active) AS f, max(period) FILTER (active) AS l FROM line GROUP BY ALL),
+ so AS (SELECT username, min(year * 12 + month - 1) AS a, max(year * 12 + month - 1) AS z FROM p GROUP BY ALL)
+ SELECT g.username, key, a AS source_start, z AS source_end, a < 24120 AS left_truncated, z > 24191 AS right_truncated, z <= 24191 AS right_censored,
+ coalesce(f - 24120, 72) AS leading_inactive, coalesce(24191 - l, 72) AS trailing_inactive FROM g JOIN so USING (username)""",
+    "trajectory_segments": f"""WITH {P}, {CNT}, {LINE}, a AS (SELECT *, CASE WHEN period - lag(period) OVER (PARTITION BY username, key ORDER BY period) - 1 < 3 THEN 0 ELSE 1 END AS b FROM line WHERE active),
+ i AS (SELECT *, CAST(sum(b) OVER (PARTITION BY username, key ORDER BY period) AS BIGINT) AS segment FROM a)
+ SELECT username, key, segment, min(period) AS start_period, max(period) AS end_period, count(*) AS active_periods, CAST(sum(plays) AS BIGINT) AS plays FROM i GROUP BY ALL""",
     "peak_ramp": f"""WITH {P}, {CNT}, {LINE}, a AS (SELECT *, max(plays) OVER (PARTITION BY username, key) AS tp, min(period) FILTER (active) OVER (PARTITION BY username, key) AS fst FROM line),
- b AS (SELECT *, min(period) FILTER (plays = tp) OVER (PARTITION BY username, key) AS pk FROM a WHERE tp > 0)
- SELECT username, key, max(tp) AS peak_plays, max(pk) AS peak_period, count(*) FILTER (plays = tp) AS peak_ties, max(pk - fst) AS distance, max(tp) - max(plays) FILTER (period = fst) AS change,
- round(avg(plays) FILTER (period BETWEEN fst AND pk), 6) AS mean, CASE WHEN max(pk) > max(fst) THEN round(regr_slope(plays, period) FILTER (period BETWEEN fst AND pk), 6) END AS slope FROM b GROUP BY ALL""",
+ b AS (SELECT *, min(period) FILTER (plays = tp) OVER (PARTITION BY username, key) AS pk FROM a WHERE tp > 0),
+ g AS (SELECT username, key, max(tp) AS peak_plays, max(pk) AS peak_period, string_agg(month, ',' ORDER BY month) FILTER (plays = tp) AS peak_periods, max(fst) AS first_period, max(plays) FILTER (period = fst) AS first_plays,
+ max(pk - fst) AS distance, regr_slope(plays, period) FILTER (period BETWEEN fst AND pk) AS s FROM b GROUP BY ALL)
+ SELECT username, key, peak_plays, peak_period, peak_periods, first_period, first_plays, distance, peak_plays - first_plays AS change,
+ CASE WHEN distance > 0 THEN round((peak_plays - first_plays) / distance, 6) END AS mean_change, CASE WHEN distance > 0 THEN round(s, 6) END AS slope FROM g""",
     "dormancy": f"""WITH {P}, {CNT}, {LINE}, a AS (SELECT *, CAST(sum(plays) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS BIGINT) AS next3, CAST(sum(plays) OVER (w ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS BIGINT) AS next6 FROM line WINDOW w AS (PARTITION BY username, key ORDER BY period)),
  g AS (SELECT *, period - lag(period) OVER (PARTITION BY username, key ORDER BY period) - 1 AS gap FROM a WHERE active)
- SELECT username, key, gap, period AS return_period, plays AS return_plays, next3, period + 2 <= 24191 AS complete3, next6, period + 5 <= 24191 AS complete6 FROM g WHERE gap >= 3""",
-    "cohort_retention": f"""WITH {P}, {CNT}, f AS (SELECT username, key, min(period) AS cohort, arg_min(n, period) AS fn FROM c GROUP BY ALL), e AS (SELECT username, max(period) AS fin FROM c GROUP BY username),
- q AS (SELECT f.username, f.key, cohort, k, cohort + k AS period, fin FROM f JOIN e USING (username) CROSS JOIN (VALUES (1), (3), (6), (12)) t(k) WHERE fn >= 2)
- SELECT q.username, printf('%04d-%02d', cohort // 12, cohort % 12 + 1) AS cohort, CAST(k AS BIGINT) AS "offset", count(*) AS size, count(*) FILTER (q.period <= fin) AS eligible, count(*) FILTER (q.period <= fin AND coalesce(c.n, 0) >= 1) AS retained,
- round(count(*) FILTER (q.period <= fin AND coalesce(c.n, 0) >= 1) / nullif(count(*) FILTER (q.period <= fin), 0), 6) AS rate FROM q LEFT JOIN c ON c.username = q.username AND c.key = q.key AND c.period = q.period GROUP BY q.username, q.cohort, k""",
-    "event_periods": f"""WITH {P}, {WIN} SELECT username, period, count(*) AS plays, count(DISTINCT nullif(artist, '')) AS artists, count(DISTINCT CASE WHEN track <> '' THEN {{'a': artist, 'b': track}} END) AS tracks,
- round(count(*) / (CASE period WHEN 'baseline' THEN 180.0 WHEN 'event' THEN 7.0 ELSE 30.0 END), 6) AS per_day FROM w GROUP BY username, period""",
-    "event_compare": f"""WITH {P}, {WIN}, c AS (SELECT username, period, artist, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT * FROM (SELECT *, round(n / sum(n) OVER (PARTITION BY username, period), 10) AS share FROM c) WHERE trim(artist) <> ''),
- r AS (SELECT *, row_number() OVER (PARTITION BY username, period ORDER BY n DESC, artist) AS k FROM s),
- g AS (SELECT username, artist, min(k) AS best, coalesce(max(n) FILTER (period = 'baseline'), 0) AS b, coalesce(max(n) FILTER (period = 'pre'), 0) AS pr, coalesce(max(n) FILTER (period = 'event'), 0) AS ev, coalesce(max(n) FILTER (period = 'post'), 0) AS po,
- coalesce(max(share) FILTER (period = 'pre'), 0) AS ps, coalesce(max(share) FILTER (period = 'post'), 0) AS os FROM r GROUP BY ALL HAVING min(k) <= 10)
- SELECT username, artist, b AS baseline_plays, pr AS pre_plays, ev AS event_plays, po AS post_plays, round(b * (7 / 180), 6) AS expected, CASE WHEN b > 0 THEN round((ev - b * (7 / 180)) / sqrt(b * (7 / 180)), 6) END AS residual, po - pr AS change, round(os - ps, 6) AS share_change FROM g""",
+ SELECT username, key, gap, period - gap AS start_period, period - 1 AS end_period, period AS return_period, plays AS return_plays, next3, period + 2 <= 24191 AS complete3, next6, period + 5 <= 24191 AS complete6 FROM g WHERE gap >= 3""",
+    "cohort_retention": _cohorts("month", "year * 12 + month - 1", "lo", "hi", 2, (1, 3, 6, 12)),
+    "cohort_years": _cohorts("year", "year", "2011", "2014", 1, (1, 12)),
+    "cohort_summary": f"""WITH {P}, {CNT}, f AS (SELECT username, key, min(period) AS cohort, arg_min(n, period) AS fn FROM c GROUP BY ALL HAVING arg_min(n, period) >= 2), b AS (SELECT username, min(year * 12 + month - 1) AS lo, max(year * 12 + month - 1) AS hi FROM p GROUP BY ALL),
+ l AS (SELECT f.username, f.key, cohort, fn, coalesce(bool_or(c.period > cohort), false) AS later FROM f JOIN c USING (username, key) GROUP BY ALL),
+ g AS (SELECT username, cohort, count(*) AS size, round(avg(fn), 6) AS mean_first, round(median(fn), 6) AS median_first, count(*) FILTER (later) AS later FROM l GROUP BY ALL), sp AS (SELECT username, unnest(generate_series(lo, hi)) AS cohort FROM b)
+ SELECT username, printf('%04d-%02d', cohort // 12, cohort % 12 + 1) AS cohort, coalesce(size, 0) AS size, mean_first, median_first, coalesce(later, 0) AS later, round(later / size, 6) AS later_rate FROM sp LEFT JOIN g USING (username, cohort)""",
+    "event_periods": f"""WITH {P}, {WIN6}, n AS (SELECT username, period, {_strip('artist')} AS a, {_strip('album')} AS b, {_strip('track')} AS t FROM w6)
+ SELECT username, period, count(*) AS plays, count(DISTINCT a) AS artists, count(DISTINCT CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN {{'a': a, 'b': b}} END) AS albums, count(DISTINCT CASE WHEN a IS NOT NULL AND t IS NOT NULL THEN {{'a': a, 'b': t}} END) AS tracks,
+ CAST({_DAYS} AS BIGINT) AS days, round(count(*) / {_DAYS}, 6) AS per_day FROM n GROUP BY username, period""",
+    "event_tops": f"""WITH {P}, {WIN6}, n AS (SELECT username, period, {_strip('artist')} AS a, {_strip('album')} AS b FROM w6), c AS (SELECT username, period, a, b, count(*) AS n, row_number() OVER (PARTITION BY username, period ORDER BY count(*) DESC, a, b) AS k FROM n WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY username, period, a, b)
+ SELECT username, period, count(*) AS entities, least(count(*), 5) AS returned, string_agg(a || ' - ' || b || ':' || n, '|' ORDER BY k) FILTER (k <= 5) AS tops FROM c GROUP BY ALL""",
+    "event_compare": _compared("artist", 10),
+    "event_compare_tracks": _compared("track", 5),
     "month_bins_vocab": f"WITH {P}, {BINS} SELECT username, bin, artist, n FROM bc",
     "share_vectors": f"WITH {P}, {BINS} SELECT username, bin, artist, CASE WHEN sum(n) OVER (PARTITION BY username, bin) > 0 THEN round(sqrt(n / sum(n) OVER (PARTITION BY username, bin)), 6) ELSE 0 END AS value FROM bc",
     "session_graph_edges": f"WITH {P}, {SESS}, {EDGES} SELECT * FROM ed",

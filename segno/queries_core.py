@@ -20,6 +20,7 @@ from segno.operators import windows as W
 from segno.operators.heavy import artist_counts, heavy_artists
 from segno.operators.plays import merged_plays
 from segno.operators.sessions import sessions
+from segno.plans import durable
 from segno.sources.playlog import picks, with_time
 from segno.sources.tables import table
 
@@ -180,16 +181,25 @@ QUERIES = {
     "session_stats": lambda s, d: S.session_stats(_plays(s, d), "username", "uts"),
     "transitions": lambda s, d: S.transitions(_plays(s, d), "username"),
     "discovery_context": lambda s, d: S.discovery_context(_plays(s, d), "username"),
-    "trajectory_timeline": _line,
+    "trajectory_timeline": lambda s, d: _line(s, d).drop("first_uts", "last_uts"),
     "trajectory_summary": lambda s, d: T.summary(_line(s, d), BY),
+    "trajectory_batch": lambda s, d: T.trajectories(_plays(s, d), BY, ["the paper estuaries", "Nobody At All", "THE SOFT BEACONS"], 2010 * 12, 2015 * 12 + 11, 2),
+    "trajectory_observation": lambda s, d: T.observation(_line(s, d), _plays(s, d), BY, 2010 * 12, 2015 * 12 + 11),
+    "trajectory_segments": lambda s, d: T.active_segments(_line(s, d), BY, 3),
     "peak_ramp": lambda s, d: T.peak_and_ramp(_line(s, d), BY),
     "dormancy": lambda s, d: T.dormancy(_line(s, d), BY, 3),
     "cohort_retention": lambda s, d: T.cohort_retention(_plays(s, d), BY, [1, 3, 6, 12], 2),
-    "event_periods": lambda s, d: W.period_stats(_plays(s, d), BY, W.intervals(EVENT)).drop("albums"),
-    "event_compare": lambda s, d: W.compare(_plays(s, d), BY, W.intervals(EVENT), 10),
+    "cohort_summary": lambda s, d: T.cohort_summary(_plays(s, d), BY, 2),
+    "cohort_years": lambda s, d: T.cohort_retention(_plays(s, d), BY, [1, 12], 1, 1, "year", "month", "2011", "2014"),
+    "event_periods": lambda s, d: W.period_stats(_plays(s, d), BY, W.covered_intervals(_plays(s, d), EVENT)),
+    "event_tops": lambda s, d: W.period_tops(_plays(s, d), BY, W.covered_intervals(_plays(s, d), EVENT), 5, "album"),
+    "event_compare": lambda s, d: W.compare(_plays(s, d), BY, W.covered_intervals(_plays(s, d), EVENT), 10),
+    "event_compare_tracks": lambda s, d: W.compare(_plays(s, d), BY, W.covered_intervals(_plays(s, d), EVENT), 5, "track"),
     "month_bins_vocab": lambda s, d: CP.bin_counts(_plays(s, d), BY, MONTHS),
     "share_vectors": lambda s, d: _six(CP.share_vectors(CP.bin_counts(_plays(s, d), BY, MONTHS), BY), "value"),
     "change_points": lambda s, d: CP.change_points(_plays(s, d), BY),
+    "change_segments": lambda s, d: CP.segment_report(_plays(s, d), BY, CP.Segmentation(), durable(CP.change_points(_plays(s, d), BY))),
+    "change_report": lambda s, d: CP.change_report(_plays(s, d), BY, CP.Segmentation(), durable(CP.change_points(_plays(s, d), BY))),
     "session_graph_edges": _edges,
     "graph_strength": lambda s, d: G.degrees(_edges(s, d)),
     "participation": _participation,

@@ -95,7 +95,7 @@ def test_timeline_summary_and_peak(spark, plays_of):
     s = T.summary(line, []).collect()[0]
     assert (s.plays, s.active_share, s.span, s.span_share) == (3, 0.4, 3, 0.666667)
     k = T.peak_and_ramp(line, []).collect()[0]
-    assert (k.peak_plays, k.peak_ties, k.distance, k["mean"], k.slope) == (2, 1, 2, 1.0, 0.5)
+    assert (k.peak_plays, k.peak_periods, k.distance, k.mean_change, k.slope) == (2, "2024-03", 2, 0.5, 0.5)
 
 
 def test_dormancy(spark, plays_of):
@@ -108,8 +108,8 @@ def test_dormancy(spark, plays_of):
 def test_cohort_retention(plays_of):
     a = [("u", month(2024, 1, 1), "A"), ("u", month(2024, 1, 2), "A"), ("u", month(2024, 2, 1), "A"), ("u", month(2024, 4, 1), "A"), ("u", month(2024, 1, 3), "B"), ("u", month(2024, 3, 1), "B"), ("u", month(2023, 12, 1), "Old"), ("u", month(2024, 1, 5), "Old")]
     p = timed(plays_of, [(u, t, x, "", "") for u, t, x in a])
-    got = {r.offset: (r["size"], r.eligible, r.retained, r.rate) for r in T.cohort_retention(p, [], [1, 2, 3, 5, 3]).where("cohort = '2024-01'").collect()}
-    assert got == {1: (2, 2, 1, 0.5), 2: (2, 2, 1, 0.5), 3: (2, 2, 1, 0.5), 5: (2, 0, 0, None)}
+    got = {r.offset: (r.eligible, r.retained, r.rate) for r in T.cohort_retention(p, [], [1, 2, 3, 5, 3]).where("cohort = '2024-01'").collect()}
+    assert got == {1: (2, 1, 0.5), 2: (2, 1, 0.5), 3: (2, 1, 0.5), 5: (0, 0, None)}
 
 
 def test_event_windows():
@@ -151,6 +151,21 @@ def test_cuts_are_the_best():
         assert CP.best_cuts(x, 1.5, 1) == exhaustive(x, 1.5, 1)
 
 
+@pytest.mark.parametrize("scale", [1e-7, 1.0, 1e7])
+def test_cuts_are_the_best_at_any_scale(scale):
+    rng = np.random.default_rng(8675309)
+    for n in range(3, 8):
+        for _ in range(12):
+            x = rng.normal(size=(n, 2))
+            least, penalty = int(rng.integers(1, n // 2 + 1)), float(rng.choice([0.0, 0.1, 2.0]))
+            want = exhaustive(x, penalty, least)
+            assert CP.best_cuts(x * scale, penalty * scale**2, least) == want
+    assert CP.best_cuts(np.array([[-1e-6, -2e-6], [-1e-6, 0.0], [1e-6, -1e-6]]), 1e-12, 1) == [1, 2]
+    flat = [[0.0]] * 2
+    assert CP.best_cuts(np.array(flat + [[3.0]] * 2 + [[9.0]] * 2), 1, 2) == [2, 4]
+    assert CP.best_cuts(np.array([[0.0], [0.0], [1.0], [1.0], [0.0], [0.0]]), -0.5, 2) == [2, 4]
+
+
 def test_change_points(plays_of):
     p = timed(plays_of, [("u", month(2024, m), "A" if m < 4 else "B", "", "") for m in range(1, 7)])
     got = [(r.first_bin, r.bins) for r in CP.change_points(p, ["username"], CP.Segmentation(penalty=0.01)).orderBy("segment").collect()]
