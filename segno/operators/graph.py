@@ -8,6 +8,7 @@ from every node, in tasks.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import sys
 from collections import defaultdict
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segno.operators.pairs import counted_pairs
 from segno.operators.sessions import assign_sessions
 from segno.plans import durable
 
@@ -40,14 +42,13 @@ def session_edges(nodes: DataFrame, entity: str, least: int) -> DataFrame:
     """(source, target, shared_sessions, jaccard), source < target, of pairs that share ``least`` sessions.
 
     Nodes in fewer sessions than that can't have such an edge and aren't
-    paired; the pairs of a session come from its one sorted list of nodes.
+    paired; each task adds up the pairs of its sessions before the shuffle.
     """
     n = nodes.groupBy("node").agg(F.count("*").alias("s")).where(F.col("s") >= least)
     kept = nodes.join(n.select("node"), "node", "left_semi")
-    lists = kept.groupBy(entity, "session_start").agg(F.sort_array(F.collect_set("node")).alias("l")).where("size(l) > 1")
-    heads = lists.select(F.posexplode("l").alias("k", "source"), "l")
-    pairs = heads.select("source", F.explode(F.expr("slice(l, k + 2, size(l))")).alias("target"))
-    counted = pairs.groupBy("source", "target").agg(F.count("*").alias("shared_sessions")).where(F.col("shared_sessions") >= least)
+    lists = kept.groupBy(entity, "session_start").agg(F.collect_set("node").alias("l")).where("size(l) > 1")
+    pairs = counted_pairs(lists, "l").withColumnsRenamed({"a": "source", "b": "target", "n": "shared_sessions"})
+    counted = pairs.where(F.col("shared_sessions") >= least)
     a, b = n.select(F.col("node").alias("source"), F.col("s").alias("sa")), n.select(F.col("node").alias("target"), F.col("s").alias("sb"))
     out = counted.join(a, "source").join(b, "target")
     return out.select("source", "target", "shared_sessions", F.round(F.col("shared_sessions") / (F.col("sa") + F.col("sb") - F.col("shared_sessions")), 12).alias("jaccard"))
@@ -173,13 +174,15 @@ def shortest_links(graph: dict[str, dict[str, float]]) -> Links:
     return [[e for e in x if next(kept)] for x in links]
 
 
-def _between_and_close(links: Links, sources: Iterable[int]) -> tuple[dict[int, float], dict[int, float]]:
-    """What the shortest paths from ``sources`` add to betweenness, and the closeness of these."""
+def _between_and_close(links: Links, sources: Iterable[int], pivots: frozenset[int] | None = None) -> tuple[dict[int, float], dict[int, float]]:
+    """What the shortest paths from ``sources`` (of ``pivots``, if given) add to betweenness, and the closeness of these."""
     n, between, close = len(links), defaultdict(float), {}
     for s in sources:
         dist, paths, before, order = _search(links, s)
         far = sum(dist.values())
         close[s] = (len(dist) - 1) / far * (len(dist) - 1) / (n - 1) if far and n > 1 else 0.0
+        if pivots is not None and s not in pivots:
+            continue
         flow: dict[int, float] = defaultdict(float)
         for v in reversed(order):
             for u in before[v]:
@@ -189,23 +192,36 @@ def _between_and_close(links: Links, sources: Iterable[int]) -> tuple[dict[int,
     return between, close
 
 
-def centrality(graph: dict[str, dict[str, float]], spark: SparkSession | None = None) -> dict[str, tuple[float, float]]:
-    """node → (betweenness, closeness), over distances 1 / weight; normalised, closeness scaled by the size of the component.  With a session, tasks search from a share of the nodes each."""
+def chosen_pivots(graph: dict[str, dict[str, float]], most: int) -> frozenset[int] | None:
+    """Numbers of ``most`` nodes by a hash of their names, the same at every run; None for all."""
+    if most >= len(graph):
+        return None
+    order = sorted((hashlib.md5(v.encode()).digest(), k) for k, v in enumerate(graph))
+    return frozenset(k for _, k in order[:most])
+
+
+def centrality(graph: dict[str, dict[str, float]], spark: SparkSession | None = None, most: int | None = None) -> dict[str, tuple[float, float]]:
+    """node → (betweenness, closeness), over distances 1 / weight; normalised, closeness scaled by the size of the component.
+
+    With a session, tasks search from a share of the nodes each.  With
+    ``most``, betweenness is what so many pivots add to it, scaled up.
+    """
     links, n = shortest_links(graph), len(graph)
+    pivots = None if most is None else chosen_pivots(graph, most)
     if spark is None or not n:
-        between, close = _between_and_close(links, range(n))
+        between, close = _between_and_close(links, range(n), pivots)
     else:
         shared = spark.sparkContext.broadcast(links)
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sources = [k for pdf in batches for k in pdf["id"].tolist()]
-            part, near = _between_and_close(shared.value, sources)
+            part, near = _between_and_close(shared.value, sources, pivots)
             yield pd.DataFrame([(v, part.get(v, 0.0), near.get(v, 0.0)) for v in {**part, **near}], columns=["id", "between", "close"])
 
         parts = spark.range(0, n, 1, -(-n // SOURCES)).mapInPandas(search, "id bigint, between double, close double")
         rows = parts.groupBy("id").agg(F.sum("between").alias("between"), F.sum("close").alias("close")).collect()  # one a node
         between, close = {r["id"]: r["between"] for r in rows}, {r["id"]: r["close"] for r in rows}
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * (1 if pivots is None else n / len(pivots))
     return {v: (between.get(k, 0.0) * scale, close[k]) for k, v in enumerate(graph)}
 
 
@@ -246,14 +262,3 @@ def node_measures(edges: DataFrame) -> DataFrame:
     group, central, cuts = communities(graph), centrality(graph, edges.sparkSession), cut_vertices(graph)
     rows = [(v, group[v], round(central[v][0], 12), round(central[v][1], 12), v in cuts) for v in sorted(graph)]
     return edges.sparkSession.createDataFrame(rows, "node string, community bigint, betweenness double, closeness double, cut_vertex boolean")
-
-
-def graphml(edges: DataFrame) -> str:
-    """The thresholded graph as GraphML."""
-    from xml.sax.saxutils import escape
-
-    graph = collected(edges)
-    lines = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="w" for="edge" attr.name="weight" attr.type="double"/><graph edgedefault="undirected">']
-    lines += [f'<node id="{escape(v, {chr(34): "&quot;"})}"/>' for v in sorted(graph)]
-    lines += [f'<edge source="{escape(v, {chr(34): "&quot;"})}" target="{escape(u, {chr(34): "&quot;"})}"><data key="w">{w}</data></edge>' for v in sorted(graph) for u, w in sorted(graph[v].items()) if v < u]
-    return "\n".join([*lines, "</graph></graphml>"])

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segno.operators.pairs import counted_pairs
 from segno.plans import durable
 
 #: Items up to which a spectral embedding takes all eigenvectors of a dense matrix; beyond, only the leading ones of a sparse one.
@@ -83,8 +84,8 @@ def weekly_pairs(plays: DataFrame, by: list[str], least: int) -> DataFrame:
     often = rows.groupBy("artist").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("artist")
     weeks = rows.join(often, "artist", "left_semi").distinct()
     alone = weeks.groupBy("artist").agg(F.count("*").alias("c"))
-    lists = weeks.groupBy(*by, "week").agg(F.sort_array(F.collect_set("artist")).alias("l")).where("size(l) > 1").select(F.posexplode("l").alias("k", "a"), "l")
-    pairs = lists.select("a", F.explode(F.expr("slice(l, k + 2, size(l))")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("weeks"))
+    lists = weeks.groupBy(*by, "week").agg(F.collect_set("artist").alias("l")).where("size(l) > 1")
+    pairs = counted_pairs(lists, "l").withColumnRenamed("n", "weeks")
     out = pairs.join(alone.select(F.col("artist").alias("a"), F.col("c").alias("ca")), "a").join(alone.select(F.col("artist").alias("b"), F.col("c").alias("cb")), "b")
     return out.select("a", "b", "weeks", F.round(F.col("weeks") / F.sqrt(F.col("ca") * F.col("cb")), 6).alias("cosine"))
 

@@ -159,7 +159,28 @@ RANK = """rk0 AS (SELECT year, a_key, t_key, count(DISTINCT critic) AS popularit
  lt AS (SELECT rk0.year AS y, rk0.a_key, rk0.t_key, count(*) AS relevance FROM rk0 JOIN (SELECT """ + _key("artist") + " AS a_key, " + _key("album") + """ AS t_key, year FROM p) q ON q.a_key = rk0.a_key AND q.t_key = rk0.t_key AND q.year > rk0.year GROUP BY ALL),
  rk AS (SELECT rk0.year, rk0.a_key, rk0.t_key, popularity, coalesce(relevance, 0) AS relevance, row_number() OVER (PARTITION BY rk0.year ORDER BY popularity DESC, rk0.a_key, rk0.t_key) AS place FROM rk0 LEFT JOIN lt ON lt.y = rk0.year AND lt.a_key = rk0.a_key AND lt.t_key = rk0.t_key)"""
 
+IDENT = f"""pm AS (SELECT *, CASE WHEN {_strip('lower(m)')} IS NOT NULL THEN 'mbid:' || {_strip('lower(m)')} WHEN {_key('artist')} <> '' THEN 'name:' || {_key('artist')} END AS node
+ FROM (SELECT p.*, artist_mbid AS m FROM p JOIN (SELECT play_id, artist_mbid FROM plays) USING (play_id) WHERE year BETWEEN 2012 AND 2018)),
+ io AS (SELECT *, CASE WHEN uts - lag(uts) OVER (PARTITION BY username ORDER BY uts, play_id) <= 1800 THEN NULL ELSE uts END AS nb FROM pm),
+ se AS (SELECT *, max(nb) OVER (PARTITION BY username ORDER BY uts, play_id ROWS UNBOUNDED PRECEDING) AS sid FROM io),
+ spl AS (SELECT node, artist, count(*) AS n FROM pm WHERE node IS NOT NULL GROUP BY ALL),
+ an AS (SELECT node, first(artist ORDER BY n DESC, artist) AS name, string_agg(artist, '|' ORDER BY artist) AS aliases, CAST(sum(n) AS BIGINT) AS plays FROM spl GROUP BY node),
+ ms AS (SELECT DISTINCT se.username, sid, node FROM se JOIN an USING (node) WHERE plays >= 3),
+ ns AS (SELECT node, count(*) AS sessions FROM ms GROUP BY node), nds AS (SELECT an.*, sessions FROM an JOIN ns USING (node)),
+ pr AS (SELECT x.node AS source, y.node AS target, count(*) AS n FROM ms x JOIN ms y ON x.username = y.username AND x.sid = y.sid AND x.node < y.node GROUP BY ALL),
+ egs AS (SELECT source, target, n AS shared_sessions, round(1 / n, 12) AS distance, round(n / (a.sessions + b.sessions - n), 12) AS jaccard FROM pr JOIN ns a ON a.node = source JOIN ns b ON b.node = target WHERE n >= 2),
+ lk2 AS (SELECT source AS node, target AS other, shared_sessions AS w FROM egs UNION ALL SELECT target, source, shared_sessions FROM egs)"""
 SQL |= {
+    "identity_nodes": f"WITH {P}, {IDENT} SELECT * FROM nds",
+    "identity_edges": f"WITH {P}, {IDENT} SELECT * FROM egs",
+    "identity_diagnostics": f"""WITH {P}, {IDENT} SELECT (SELECT count(*) FROM pm) AS source_plays, (SELECT count(*) FROM (SELECT DISTINCT username, sid FROM se WHERE username IS NOT NULL)) AS sessions, (SELECT count(*) FROM pm WHERE node IS NULL) AS empty_artist,
+ (SELECT count(*) FROM an) AS artists, (SELECT count(*) FROM an WHERE plays < 3) AS artists_below, (SELECT count(*) FROM pr WHERE n < 2) AS edges_below""",
+    "identity_degrees": f"""WITH {P}, {IDENT}, g AS (SELECT node, count(*) AS degree, sum(w) AS strength FROM lk2 GROUP BY node)
+ SELECT nds.node, coalesce(degree, 0) AS degree, CAST(coalesce(strength, 0) AS BIGINT) AS strength, round(coalesce(degree, 0) / ((SELECT count(*) FROM nds) - 1), 12) AS degree_centrality FROM nds LEFT JOIN g USING (node)""",
+    "identity_participation": f"""WITH {P}, {IDENT}, i AS (SELECT lk2.node, unicode(name) AS g, sum(w) AS w FROM lk2 JOIN nds ON nds.node = other GROUP BY ALL), h AS (SELECT node, 1 - sum(w * w) / (sum(w) * sum(w)) AS v FROM i GROUP BY node)
+ SELECT nds.node, round(coalesce(v, 0), 6) AS participation FROM nds LEFT JOIN h USING (node)""",
+    "identity_focus": f"""WITH {P}, {IDENT}, f AS (SELECT node FROM nds ORDER BY plays DESC, node LIMIT 1), r AS (SELECT node FROM f UNION SELECT other FROM lk2 SEMI JOIN f USING (node))
+ SELECT egs.* FROM egs WHERE source IN (SELECT node FROM r) AND target IN (SELECT node FROM r)""",
     "session_ids": f"WITH {P}, {SESS} SELECT play_id, username, uts, session_start FROM ss",
     "session_stats": f"""WITH {P}, {SESS}, e AS (SELECT username, session_start, count(*) AS n, count(DISTINCT artist) AS a, (max(uts) - min(uts)) / 60.0 AS m FROM ss GROUP BY ALL)
  SELECT username, count(*) AS sessions, round(avg(n), 4) AS mean_plays, round(median(n), 4) AS median_plays, round(avg(a), 4) AS mean_artists, round(median(a), 4) AS median_artists, round(avg(m), 4) AS mean_minutes, round(median(CAST(m AS DOUBLE)), 4) AS median_minutes,

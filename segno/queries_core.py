@@ -13,6 +13,7 @@ from segno.operators import critics as K
 from segno.operators import eras as R
 from segno.operators import evaluate as E
 from segno.operators import graph as G
+from segno.operators import session_graph as SG
 from segno.operators import sessions as S
 from segno.operators import trajectory as T
 from segno.operators import vectors as V
@@ -85,6 +86,26 @@ def _measures(spark: SparkSession, d: str) -> DataFrame:
     return G.node_measures(_edges(spark, d))
 
 
+GRAPH = SG.GraphConfig(1800, 3, 2, 2012, 2018, pivots=200)
+
+
+def _session_graph(spark: SparkSession, d: str) -> SG.SessionGraph:
+    return SG.session_graph(_plays(spark, d), "username", GRAPH)
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    """Participation in communities given by the first letter of what the node shows."""
+    graph = _session_graph(spark, d)
+    return _six(SG.participation(graph, graph.nodes.select("node", F.ascii("name").alias("community"))), "participation")
+
+
+def _focused(spark: SparkSession, d: str) -> DataFrame:
+    """Edges among the neighbours of the artist of most plays."""
+    graph = _session_graph(spark, d)
+    first = graph.nodes.orderBy(F.desc("plays"), "node").first()
+    return SG.around(graph, first["node"] if first else "", 1).edges
+
+
 def _matched(spark: SparkSession, d: str) -> DataFrame:
     return K.played_releases(_plays(spark, d), table(spark, d, "releases"))
 
@@ -205,6 +226,13 @@ QUERIES = {
     "participation": _participation,
     "hop_neighbourhood": lambda s, d: G.neighbourhood(_edges(s, d), "the paper estuaries", 2),
     "graph_measures": _measures,
+    "identity_nodes": lambda s, d: _session_graph(s, d).nodes,
+    "identity_edges": lambda s, d: _session_graph(s, d).edges,
+    "identity_diagnostics": lambda s, d: _session_graph(s, d).diagnostics,
+    "identity_degrees": lambda s, d: SG.degree_measures(_session_graph(s, d)),
+    "identity_participation": _groups,
+    "identity_focus": _focused,
+    "identity_measures": lambda s, d: SG.measured(_session_graph(s, d), GRAPH),
     "normalize_key": lambda s, d: _plays(s, d).where("artist IS NOT NULL").select("artist", "album").distinct().select("artist", "album", K.match_key(F.col("artist")).alias("a_key"), K.match_key(F.col("album")).alias("t_key")),
     "critics_consolidated": lambda s, d: K.consolidated(_picks(s, d)),
     "blind_spots": lambda s, d: K.blind_spots(_picks(s, d), _plays(s, d), 2),
