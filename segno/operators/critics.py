@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segno.functions.similarity import ratio_col
-from segno.functions.text import match_key, stripped
+from segno.functions.text import joined_first, match_key, stripped
+from segno.plans import durable, small_or_shuffled
 
 
 def keyed(df: DataFrame, artist: str = "artist", title: str = "title") -> DataFrame:
@@ -15,8 +19,9 @@ def keyed(df: DataFrame, artist: str = "artist", title: str = "title") -> DataFr
 
 
 def heard(plays: DataFrame) -> DataFrame:
-    """(a_key, t_key, plays, first_uts) of played albums."""
-    return keyed(plays, "artist", "album").groupBy("a_key", "t_key").agg(F.count("*").alias("plays"), F.min("uts").alias("first_uts"))
+    """(a_key, t_key, plays, first_uts) of played albums; plays are counted by spelling before names are keyed."""
+    spelt = plays.where("artist IS NOT NULL AND album <> ''").groupBy("artist", "album").agg(F.count("*").alias("n"), F.min("uts").alias("u"))
+    return keyed(spelt, "artist", "album").groupBy("a_key", "t_key").agg(F.sum("n").alias("plays"), F.min("u").alias("first_uts"))
 
 
 def consolidated(picks: DataFrame) -> DataFrame:
@@ -24,16 +29,40 @@ def consolidated(picks: DataFrame) -> DataFrame:
     return keyed(picks).groupBy("a_key", "t_key").agg(F.countDistinct("critic").alias("critics"), F.count("*").alias("listings"), F.round(F.avg("rank"), 4).alias("mean_rank"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
+def spellings(picks: DataFrame) -> DataFrame:
+    """(a_key, t_key, artist, title, critics): each listed album in its most common spelling, the first seen (by list, then place) on ties."""
+    each = keyed(picks).groupBy("a_key", "t_key", "artist", "title").agg(F.count("*").alias("n"), F.min(F.struct("list_id", "place")).alias("first"))
+    best = each.groupBy("a_key", "t_key").agg(F.min(F.struct((-F.col("n")).alias("k"), "first", "artist", "title")).alias("b"))
+    critics = keyed(picks).groupBy("a_key", "t_key").agg(F.countDistinct("critic").alias("critics"))
+    return best.join(critics, ["a_key", "t_key"]).select("a_key", "t_key", F.col("b.artist").alias("artist"), F.col("b.title").alias("title"), "critics")
+
+
 def blind_spots(picks: DataFrame, plays: DataFrame, least: int) -> DataFrame:
-    """Albums of many critics that nobody played."""
-    albums = consolidated(picks).where(F.col("critics") >= least)
+    """(a_key, t_key, critics, years): albums that nobody played, by each year's critics added up over the years (a list without a year makes one of its own)."""
+    years = keyed(picks).groupBy("a_key", "t_key", "year").agg(F.countDistinct("critic").alias("n"))
+    albums = years.groupBy("a_key", "t_key").agg(F.sum("n").alias("critics"), F.count("year").alias("years")).where(F.col("critics") >= least)
     return albums.join(heard(plays), ["a_key", "t_key"], "left_anti")
 
 
 def validated(picks: DataFrame, plays: DataFrame, least: int) -> DataFrame:
-    """Albums of many critics that were played, and whether before the first list's year was over."""
+    """Albums of many critics that were played, and whether in a year before that of the first list."""
     both = consolidated(picks).where(F.col("critics") >= least).join(heard(plays), ["a_key", "t_key"])
-    return both.withColumn("before_critics", F.year(F.timestamp_seconds("first_uts")) <= F.col("first_year"))
+    return both.withColumn("before_critics", F.year(F.timestamp_seconds("first_uts")) < F.col("first_year"))
+
+
+def validated_insights(picks: DataFrame, plays: DataFrame, least: int) -> DataFrame:
+    """In one row: validated albums, their mean listings, the year of most of them and the artist of most, the first on ties."""
+    albums = durable(validated(picks, plays, least))
+    base = albums.agg(F.count("*").alias("albums"), F.round(F.avg("listings"), 1).alias("mean_listings"))
+    artist = albums.groupBy("a_key").agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("k"), "a_key"))["a_key"].alias("top_artist"))
+    years = keyed(picks).where("year IS NOT NULL").select("a_key", "t_key", "year").distinct().join(albums.select("a_key", "t_key"), ["a_key", "t_key"], "left_semi")
+    year = years.groupBy("year").agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("k"), "year"))["year"].alias("top_year"))
+    return base.join(artist, how="cross").join(year, how="cross")  # one row each
+
+
+def in_years(picks: DataFrame, low: int, high: int) -> DataFrame:
+    """Picks of lists of a span of years; critics without a pick in it are gone with their picks."""
+    return picks.where(F.col("year").between(low, high))
 
 
 def alignment(picks: DataFrame, plays: DataFrame) -> DataFrame:
@@ -45,24 +74,26 @@ def alignment(picks: DataFrame, plays: DataFrame) -> DataFrame:
 
 def recommended(picks: DataFrame, plays: DataFrame, limit: int) -> DataFrame:
     """Unheard albums by the summed alignment of the critics who list them."""
-    weights = alignment(picks, plays).select("critic", "alignment")
-    new = keyed(picks).join(heard(plays), ["a_key", "t_key"], "left_anti").join(weights, "critic")
+    met = keyed(picks).where("critic IS NOT NULL").join(heard(plays).select("a_key", "t_key", F.lit(1).alias("h")), ["a_key", "t_key"], "left")
+    # a critic's alignment from the same join that tells heard from new
+    weighed = met.withColumn("alignment", F.round(F.count("h").over(Window.partitionBy("critic")) / F.count("*").over(Window.partitionBy("critic")), 3))
+    new = weighed.where("h IS NULL")
     scored = new.groupBy("a_key", "t_key").agg(F.round(F.sum("alignment"), 6).alias("score"), F.countDistinct("critic").alias("critics"))
     return scored.orderBy(F.desc("score"), F.desc("critics"), "a_key", "t_key").limit(limit)
 
 
 def overlap(picks: DataFrame, plays: DataFrame) -> DataFrame:
     """Per critic the shared albums over the smaller of the two sets; 0 where nothing was heard."""
-    mine = heard(plays).select("a_key", "t_key", F.lit(1).alias("h"))
+    mine = durable(heard(plays).select("a_key", "t_key", F.lit(1).alias("h")))
     sets = keyed(picks).where("critic IS NOT NULL").select("critic", "a_key", "t_key").distinct()
-    total = heard(plays).count()
+    total = mine.count()
     out = sets.join(mine, ["a_key", "t_key"], "left").groupBy("critic").agg(F.count("h").alias("shared"), F.count("*").alias("albums"))
     return out.withColumn("overlap", F.round(F.coalesce(F.try_divide(F.col("shared").cast("double"), F.least(F.col("albums"), F.lit(total))), F.lit(0.0)), 6))
 
 
 def accuracy(picks: DataFrame, plays: DataFrame, year: int) -> DataFrame:
     """Per critic of a year: picks, and how many were played after that year at all and ten times."""
-    later = keyed(plays.where(F.col("year") > year), "artist", "album").groupBy("a_key", "t_key").agg(F.count("*").alias("n"))
+    later = heard(plays.where(F.col("year") > year)).select("a_key", "t_key", F.col("plays").alias("n"))
     met = keyed(picks.where((F.col("year") == year) & F.col("critic").isNotNull())).select("critic", "a_key", "t_key").distinct().join(later, ["a_key", "t_key"], "left")
     return met.groupBy("critic").agg(F.count("*").alias("picks"), F.count("n").alias("played"), F.count_if(F.col("n") >= 10).alias("played_10"))
 
@@ -111,11 +142,20 @@ def by_attribute(matched: DataFrame, column: str) -> DataFrame:
 def by_genre(matched: DataFrame, genres: DataFrame, most: int = 5) -> DataFrame:
     """Plays by genre, of each release's first ``most`` genres by count."""
     first = genres.withColumn("k", F.row_number().over(Window.partitionBy("release_id").orderBy(F.desc("count"), "genre"))).where(F.col("k") <= most).select("release_id", "genre")
-    return matched.join(first, "release_id").groupBy("genre").agg(F.sum("plays").alias("plays"), F.count("*").alias("albums"))
+    return _share_of_matched(matched, matched.join(first, "release_id").groupBy("genre").agg(F.sum("plays").alias("plays"), F.count("*").alias("albums")))
+
+
+def _share_of_matched(matched: DataFrame, out: DataFrame) -> DataFrame:
+    """With ``pct``, the share of the plays of all matched albums: those of several genres count for each, so shares add up to more."""
+    total = matched.agg(F.sum("plays")).first()[0] or 0
+    return out.withColumn("pct", F.round(F.col("plays") * 100.0 / F.lit(total), 2))
 
 
-def by_label(matched: DataFrame, labels: DataFrame) -> DataFrame:
-    return matched.join(labels.select("release_id", "label_name").distinct(), "release_id").groupBy("label_name").agg(F.sum("plays").alias("plays"), F.count("*").alias("albums"))
+def by_label(matched: DataFrame, labels: DataFrame, most: int = 3) -> DataFrame:
+    """Plays by label, of each release's first ``most`` labels by name."""
+    named = labels.where(F.coalesce("label_name", F.lit("")) != "").select("release_id", "label_name").distinct()
+    first = named.withColumn("k", F.row_number().over(Window.partitionBy("release_id").orderBy("label_name"))).where(F.col("k") <= most).select("release_id", "label_name")
+    return _share_of_matched(matched, matched.join(first, "release_id").groupBy("label_name").agg(F.sum("plays").alias("plays"), F.count("*").alias("albums")))
 
 
 def catalog(matched: DataFrame) -> DataFrame:
@@ -131,43 +171,71 @@ def release_mix(matched: DataFrame) -> DataFrame:
     return out.withColumn("short_ratio", F.round(F.try_divide(F.col("short_plays").cast("double"), F.col("short_plays") + F.col("album_plays")), 3))
 
 
-def grams(key: Column, size: int = 3) -> Column:
-    """The distinct pieces of ``size`` letters of a padded key."""
-    padded = F.concat(F.lit("##"), F.regexp_replace(key, " ", "_"), F.lit("##"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - size + 1), lambda i: F.substr(padded, i, F.lit(size))))
+def bigrams(key: str) -> list[str]:
+    """The pairs of neighbouring letters of a padded key, each with the number of its occurrence, so that a list is a set."""
+    padded, seen, out = f"#{key}#", Counter(), []
+    for i in range(len(padded) - 1):
+        g = padded[i : i + 2]
+        seen[g] += 1
+        out.append(f"{g}{seen[g]}")
+    return out
+
+
+def rarest_bigrams(names: DataFrame, column: str, least: float) -> DataFrame:
+    """(column, prefix): of each name the rarest bigrams, as many that two names alike to ``least`` share one of them at least.
+
+    For names of n and m letters alike to r = least / 100, letters dropped and
+    added are at most (1 - r)(n + m); a dropped one takes two bigrams of a
+    name, an added one one.  So at most c * n are lost, with the shortest m,
+    n * r / (2 - r); of one order of all bigrams both names' first c * n + 1
+    meet.
+    """
+    r = least / 100
+    if r <= 2 / 3:
+        raise ValueError("names less alike than two thirds need not share any pair of letters")
+    lost = ((4 - 3 * r) + (2 - 3 * r) * r / (2 - r)) / 2
+
+    @F.pandas_udf("array<string>")
+    def pieces(s: pd.Series) -> pd.Series:
+        return s.map(bigrams)
+
+    each = names.select(column).distinct()
+    rows = each.select(column, F.explode(pieces(F.col(column))).alias("g"))
+    often = small_or_shuffled(durable(rows.groupBy("g").agg(F.count("*").alias("n"))))
+    place = F.row_number().over(Window.partitionBy(column).orderBy("n", "g"))
+    first = rows.join(often, "g").withColumn("k", place).where(F.col("k") <= F.floor(F.length(column) * lost + 1e-9) + 1)
+    return first.groupBy(column).agg(F.collect_list("g").alias("prefix"))
 
 
 def fuzzy_match(wanted: DataFrame, known: DataFrame, least: float = 85.0) -> DataFrame:
     """(a_key, t_key, known_a, known_t, score): for each wanted album the best known one of equal key, else with both names alike to ``least``.
 
     Alike means twice the common subsequence over all letters, in percent; the
-    score weighs the title 0.7 and the artist 0.3, ties go by name.  Pairs are
-    found by rare pieces of the title: two titles that are alike to 85 share,
-    of the pieces of either, more than its edits can destroy, so a wanted
-    title looks up only its rarest pieces, as many as edits can destroy plus
-    one, and so with artists; a pair is met by either.  Nothing is missed
-    unless both names have over 16 letters and edits that break every piece.
+    score weighs the title 0.7 and the artist 0.3, ties go by name.  Exact:
+    pairs that could be alike share one of the rarest bigrams of the title and
+    one of the artist's (``rarest_bigrams``), and meet by the two together, so
+    that neither an artist of many albums nor a common piece is one hot key.
+    Null and empty keys are matched with nothing.
     """
-    ask, have = wanted.select("a_key", "t_key").distinct(), known.select(F.col("a_key").alias("known_a"), F.col("t_key").alias("known_t")).distinct()
+    filled = lambda df, a, t: df.where(f"{a} <> '' AND {t} <> ''")
+    ask = filled(wanted.select("a_key", "t_key").distinct(), "a_key", "t_key")
+    have = filled(known.select(F.col("a_key").alias("known_a"), F.col("t_key").alias("known_t")).distinct(), "known_a", "known_t")
+    ask, have = durable(ask), durable(have)
     exact = ask.join(have, (F.col("a_key") == F.col("known_a")) & (F.col("t_key") == F.col("known_t"))).withColumn("score", F.lit(100.0))
-    rest = ask.join(exact.select("a_key", "t_key"), ["a_key", "t_key"], "left_anti")
-    both = F.lit((200.0 - least) / least)
-
-    def pieces(df: DataFrame, a: str, t: str) -> DataFrame:
-        return df.select(a, t, F.explode(F.array_union(F.transform(grams(F.col(t)), lambda g: F.concat(F.lit("t"), g)), F.transform(grams(F.col(a)), lambda g: F.concat(F.lit("a"), g)))).alias("g"))
-
-    stored = pieces(have, "known_a", "known_t")
-    often = stored.groupBy("g").agg(F.count("*").alias("df"))
-    asked = pieces(rest, "a_key", "t_key").join(often, "g")
-    # letters that differ between alike strings: at most len * (200 - 2 * least) / least of both sides together; each touches three pieces
-    edits = lambda c: F.floor(F.length(c) * (both - 1) + 1e-9) * 3 + 1
-    place = F.row_number().over(Window.partitionBy("a_key", "t_key", F.substring("g", 1, 1)).orderBy("df", "g"))
-    chosen = asked.withColumn("k", place).where(F.col("k") <= F.when(F.substring("g", 1, 1) == "t", edits("t_key")).otherwise(edits("a_key")))
-    met = chosen.join(stored, "g").select("a_key", "t_key", "known_a", "known_t", F.substring("g", 1, 1).alias("kind")).distinct()
-    pairs = met.groupBy("a_key", "t_key", "known_a", "known_t").agg(F.count("*").alias("kinds"))
+    rest = durable(ask.join(have.select(F.col("known_a").alias("a_key"), F.col("known_t").alias("t_key")), ["a_key", "t_key"], "left_anti"))
+    titles = rarest_bigrams(rest.select(F.col("t_key").alias("t")).unionByName(have.select(F.col("known_t").alias("t"))), "t", least)
+    artists = rarest_bigrams(rest.select(F.col("a_key").alias("a")).unionByName(have.select(F.col("known_a").alias("a"))), "a", least)
+    titles, artists = durable(titles.withColumnRenamed("prefix", "tp")), durable(artists.withColumnRenamed("prefix", "ap"))
+
+    def keys(df: DataFrame, a: str, t: str) -> DataFrame:
+        both = df.join(titles, df[t] == titles["t"]).join(artists, df[a] == artists["a"]).select(a, t, "ap", F.explode("tp").alias("g"))
+        return both.select(a, t, "g", F.explode("ap").alias("h")).select(a, t, F.xxhash64("g", "h").alias("key"))
+
     near = lambda x, y: (F.least(F.length(x), F.length(y)) * 200 >= least * (F.length(x) + F.length(y)))
-    scored = pairs.where(near("a_key", "known_a") & near("t_key", "known_t")).withColumns({"sa": ratio_col(F.col("a_key"), F.col("known_a")), "st": ratio_col(F.col("t_key"), F.col("known_t"))})
-    alike = scored.where((F.col("sa") >= least) & (F.col("st") >= least)).withColumn("score", 0.7 * F.col("st") + 0.3 * F.col("sa"))
+    met = keys(rest, "a_key", "t_key").join(keys(have, "known_a", "known_t"), "key").where(near("a_key", "known_a") & near("t_key", "known_t"))
+    pairs = met.select("a_key", "t_key", "known_a", "known_t").distinct()
+    scored = pairs.withColumn("st", ratio_col(F.col("t_key"), F.col("known_t"))).where(F.col("st") >= least).withColumn("sa", ratio_col(F.col("a_key"), F.col("known_a"))).where(F.col("sa") >= least)
+    alike = scored.withColumn("score", 0.7 * F.col("st") + 0.3 * F.col("sa"))
     best = alike.withColumn("k", F.row_number().over(Window.partitionBy("a_key", "t_key").orderBy(F.desc("score"), "known_a", "known_t"))).where("k = 1")
     return exact.unionByName(best.select("a_key", "t_key", "known_a", "known_t", "score"))
 
@@ -198,9 +266,77 @@ def profiles(picks: DataFrame, plays: DataFrame, signature: int = 2) -> DataFram
     rows = keyed(picks).where("critic IS NOT NULL").join(mine, ["a_key", "t_key"], "left")
     artists = rows.groupBy("critic", "a_key").agg(F.count("*").alias("n")).groupBy("critic").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") >= signature, F.col("a_key")))), "|").alias("signature"))
     base = rows.groupBy("critic").agg(F.count("*").alias("picks"), F.count("h").alias("heard"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
-    # a row per critic: one ordered list of all is what a rank among them is
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("heard") / F.col("picks"), 6)), "critic")).cast("bigint")
-    return base.withColumn("rank", rank).join(artists, "critic")
+    scored = base.withColumn("s", F.round(F.col("heard") / F.col("picks"), 6))
+    # critics ahead of each score: one row a score, of which there are few, is all that one task orders
+    scores = scored.groupBy("s").agg(F.count("*").alias("n"))
+    ahead = scores.select("s", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    rank = F.col("ahead") + F.row_number().over(Window.partitionBy("s").orderBy("critic"))
+    return scored.join(ahead, "s").withColumn("rank", rank.cast("bigint")).drop("s", "ahead").join(artists, "critic")
+
+
+def resolve_critic(picks: DataFrame, name: str) -> str | None:
+    """The critic of this name, whatever its case, else the first in order whose name holds it; None if there is none."""
+    names = picks.where("critic IS NOT NULL").select("critic").distinct()
+    same, held = F.lower("critic") == name.lower(), F.lower("critic").contains(name.lower())
+    first = names.where(held).orderBy(F.when(same, 0).otherwise(1), "critic").first()
+    return first["critic"] if first else None
+
+
+def critic_picks(picks: DataFrame, plays: DataFrame, most: int = 15) -> DataFrame:
+    """Per critic the first picks heard, with plays, and those missed, by year, rank (none last) and title, joined by bars."""
+    rows = keyed(picks).where("critic IS NOT NULL").groupBy("critic", "a_key", "t_key").agg(F.min(F.struct(F.coalesce("year", F.lit(9999)).alias("y"), F.coalesce("rank", F.lit(999)).alias("r"))).alias("o"))
+    met = rows.join(heard(plays).select("a_key", "t_key", "plays"), ["a_key", "t_key"], "left").withColumn("h", F.col("plays").isNotNull())
+    placed = met.withColumn("k", F.row_number().over(Window.partitionBy("critic", "h").orderBy("o", "t_key", "a_key")))
+    title = F.concat_ws(" - ", "a_key", "t_key")
+    return placed.groupBy("critic").agg(
+        joined_first(most, F.when(F.col("h"), F.col("k")), F.concat_ws(":", title, F.col("plays").cast("string"))).alias("heard"), joined_first(most, F.when(~F.col("h"), F.col("k")), title).alias("missed")
+    )
+
+
+def review_summary(picks: DataFrame) -> DataFrame:
+    """In one row: lists, entries with names, albums, artists, mean size of a list and the upper median."""
+    rows = keyed(picks)
+    sizes = rows.groupBy("list_id").agg(F.count("*").alias("n"))
+    base = sizes.agg(F.count("*").alias("lists"), F.sum("n").alias("entries"), F.round(F.avg("n"), 1).alias("mean_size"), F.expr("percentile_disc(0.5000001) WITHIN GROUP (ORDER BY n)").cast("bigint").alias("median_size"))
+    distinct = rows.agg(F.countDistinct("a_key", "t_key").alias("albums"), F.countDistinct("a_key").alias("artists"))
+    return base.join(distinct, how="cross")  # one row each
+
+
+def review_albums(picks: DataFrame, plays: DataFrame, darling: int = 5, consensus: int = 10, most: int = 15) -> DataFrame:
+    """(a_key, t_key, critics, mean_rank, heard, consensus, darling, deep_cut): darlings are the ``most`` best ranked albums of ``darling`` critics (ties by name), deep cuts are heard and of three critics at most."""
+    albums = consolidated(picks).select("a_key", "t_key", "critics", "mean_rank").join(heard(plays).select("a_key", "t_key", "plays"), ["a_key", "t_key"], "left").withColumn("heard", F.col("plays").isNotNull())
+    best = albums.where((F.col("critics") >= darling) & F.col("mean_rank").isNotNull()).orderBy("mean_rank", "a_key", "t_key").limit(most).select("a_key", "t_key", F.lit(True).alias("darling"))
+    out = albums.join(F.broadcast(best), ["a_key", "t_key"], "left")
+    return out.select(
+        "a_key", "t_key", "critics", "mean_rank", "heard", (F.col("critics") >= consensus).alias("consensus"), F.coalesce("darling", F.lit(False)).alias("darling"), (F.col("heard") & F.col("critics").between(1, 3)).alias("deep_cut")
+    )
+
+
+def album_listings(picks: DataFrame, plays: DataFrame) -> DataFrame:
+    """Per listed album: its critics by year and rank (none last), years, and, if played, plays, first play and the month of most plays, the earliest on ties."""
+    order = F.struct(F.coalesce("year", F.lit(9999)).alias("y"), F.coalesce("rank", F.lit(999)).alias("r"), F.coalesce("critic", F.lit("")).alias("c"))
+    rows = F.sort_array(F.collect_list(order))
+    text = F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["c"], r["y"].cast("string"), r["r"].cast("string"))), "|")
+    years = F.array_join(F.array_sort(F.collect_set("year")).cast("array<string>"), ",")
+    listed = keyed(picks).groupBy("a_key", "t_key").agg(F.count("*").alias("listings"), years.alias("years"), text.alias("critics"))
+    spelt = plays.where("artist IS NOT NULL AND album <> ''").groupBy("artist", "album", "year", "month").agg(F.count("*").alias("n"), F.min("uts").alias("u"))
+    months = keyed(spelt, "artist", "album").groupBy("a_key", "t_key", (F.col("year") * 12 + F.col("month") - 1).alias("m")).agg(F.sum("n").alias("n"), F.min("u").alias("u"))
+    mine = months.groupBy("a_key", "t_key").agg(F.sum("n").alias("plays"), F.min("u").alias("first_uts"), F.min(F.struct((-F.col("n")).alias("k"), "m"))["m"].alias("peak_month"))
+    return listed.join(mine, ["a_key", "t_key"], "left")
+
+
+def artist_in_lists(picks: DataFrame, plays: DataFrame, artist: str) -> DataFrame:
+    """One artist's listed albums: first year, listings, critics, plays (0 if not heard)."""
+    rows = keyed(picks).where(F.col("a_key") == match_key(F.lit(artist)))
+    albums = rows.groupBy("t_key").agg(F.min("year").alias("year"), F.count("*").alias("listings"), F.array_join(F.array_sort(F.collect_set("critic")), "|").alias("critics"))
+    mine = heard(plays).where(F.col("a_key") == match_key(F.lit(artist))).select("t_key", "plays")
+    return albums.join(mine, "t_key", "left").withColumn("plays", F.coalesce("plays", F.lit(0)))
+
+
+def champions(picks: DataFrame, plays: DataFrame, artist: str) -> DataFrame:
+    """Critics who list an artist: how often, and the share of all their picks that was heard."""
+    mine = keyed(picks).where((F.col("a_key") == match_key(F.lit(artist))) & F.col("critic").isNotNull()).groupBy("critic").agg(F.count("*").alias("times"))
+    return alignment(picks, plays).select("critic", "alignment").join(mine, "critic")
 
 
 def catalog_stats(releases: DataFrame, genres: DataFrame, labels: DataFrame) -> DataFrame:

@@ -238,8 +238,9 @@ SQL |= {
  SELECT node, CAST(min(distance) AS BIGINT) AS distance FROM h GROUP BY node""",
     "normalize_key": f"WITH {P} SELECT artist, album, {_key('artist')} AS a_key, {_key('album')} AS t_key FROM (SELECT DISTINCT artist, album FROM p WHERE artist IS NOT NULL)",
     "critics_consolidated": f"WITH {PICKS}, {CONS} SELECT * FROM cs",
-    "blind_spots": f"WITH {P}, {PICKS}, {HEARD}, {CONS} SELECT cs.* FROM cs ANTI JOIN hd USING (a_key, t_key) WHERE critics >= 2",
-    "validated": f"WITH {P}, {PICKS}, {HEARD}, {CONS} SELECT cs.*, hd.plays, hd.first_uts, year(make_timestamp(first_uts * 1000000)) <= first_year AS before_critics FROM cs JOIN hd USING (a_key, t_key) WHERE critics >= 2",
+    "blind_spots": f"""WITH {P}, {PICKS}, {HEARD}, y AS (SELECT a_key, t_key, year, count(DISTINCT critic) AS n FROM pk GROUP BY ALL)
+ SELECT a_key, t_key, CAST(sum(n) AS BIGINT) AS critics, count(year) AS years FROM y ANTI JOIN hd USING (a_key, t_key) GROUP BY ALL HAVING sum(n) >= 2""",
+    "validated": f"WITH {P}, {PICKS}, {HEARD}, {CONS} SELECT cs.*, hd.plays, hd.first_uts, year(make_timestamp(first_uts * 1000000)) < first_year AS before_critics FROM cs JOIN hd USING (a_key, t_key) WHERE critics >= 2",
     "critic_alignment": f"WITH {P}, {PICKS}, {HEARD}, {ALIGN} SELECT * FROM al",
     "critic_recommended": f"""WITH {P}, {PICKS}, {HEARD}, {ALIGN} SELECT a_key, t_key, round(sum(al.alignment), 6) AS score, count(DISTINCT pk.critic) AS critics FROM pk ANTI JOIN hd USING (a_key, t_key) JOIN al ON al.critic = pk.critic GROUP BY ALL ORDER BY score DESC, critics DESC, a_key, t_key LIMIT 20""",
     "critic_overlap": f"""WITH {P}, {PICKS}, {HEARD}, t AS (SELECT DISTINCT critic, a_key, t_key FROM pk WHERE critic IS NOT NULL)
@@ -251,8 +252,9 @@ SQL |= {
     "critics_review": f"WITH {PICKS} SELECT a_key, count(*) AS listings, count(DISTINCT t_key) AS albums, count(DISTINCT critic) AS critics, round(avg(rank), 4) AS mean_rank FROM pk GROUP BY a_key",
     "lists_summary": f"WITH {PICKS} SELECT critic, publication, year, count(DISTINCT list_id) AS lists, count(*) AS albums FROM pk0 GROUP BY ALL",
     "release_lookup": f"WITH {P}, {REL} SELECT artist, album, rid AS release_id FROM lk",
-    "genres": f"""WITH {P}, {REL}, g AS (SELECT release_id, genre FROM (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY count DESC, genre) AS k FROM release_genres) WHERE k <= 5) SELECT genre, CAST(sum(plays) AS BIGINT) AS plays, count(*) AS albums FROM mt JOIN g USING (release_id) GROUP BY genre""",
-    "labels": f"WITH {P}, {REL} SELECT label_name, CAST(sum(plays) AS BIGINT) AS plays, count(*) AS albums FROM mt JOIN (SELECT DISTINCT release_id, label_name FROM release_labels) USING (release_id) GROUP BY label_name",
+    "genres": f"""WITH {P}, {REL}, g AS (SELECT release_id, genre FROM (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY count DESC, genre) AS k FROM release_genres) WHERE k <= 5) SELECT genre, CAST(sum(plays) AS BIGINT) AS plays, count(*) AS albums, round(sum(plays) * 100.0 / (SELECT sum(plays) FROM mt), 2) AS pct FROM mt JOIN g USING (release_id) GROUP BY genre""",
+    "labels": f"""WITH {P}, {REL}, l AS (SELECT DISTINCT release_id, label_name FROM release_labels WHERE label_name <> ''), k AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY release_id ORDER BY label_name) <= 3)
+ SELECT label_name, CAST(sum(plays) AS BIGINT) AS plays, count(*) AS albums, round(sum(plays) * 100.0 / (SELECT sum(plays) FROM mt), 2) AS pct FROM mt JOIN k USING (release_id) GROUP BY label_name""",
     "countries": f"WITH {P}, {REL} SELECT country, CAST(sum(plays) AS BIGINT) AS plays, count(*) AS albums, round(sum(plays) * 100.0 / (SELECT sum(plays) FROM mt), 2) AS pct FROM mt WHERE country <> '' GROUP BY country",
     "release_types": f"WITH {P}, {REL} SELECT release_type, CAST(sum(plays) AS BIGINT) AS plays, count(*) AS albums, round(sum(plays) * 100.0 / (SELECT sum(plays) FROM mt), 2) AS pct FROM mt WHERE release_type <> '' GROUP BY release_type",
     "catalog": f"WITH {P}, {REL} SELECT year // 10 * 10 AS decade, CAST(sum(plays) AS BIGINT) AS plays, count(*) AS albums, count(DISTINCT artist) AS artists FROM mt WHERE year IS NOT NULL GROUP BY 1",
