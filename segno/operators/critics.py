@@ -200,11 +200,11 @@ def rarest_bigrams(names: DataFrame, column: str, least: float) -> DataFrame:
         return s.map(bigrams)
 
     each = names.select(column).distinct()
-    rows = each.select(column, F.explode(pieces(F.col(column))).alias("g"))
-    often = small_or_shuffled(durable(rows.groupBy("g").agg(F.count("*").alias("n"))))
-    place = F.row_number().over(Window.partitionBy(column).orderBy("n", "g"))
-    first = rows.join(often, "g").withColumn("k", place).where(F.col("k") <= F.floor(F.length(column) * lost + 1e-9) + 1)
-    return first.groupBy(column).agg(F.collect_list("g").alias("prefix"))
+    rows = each.select(column, F.explode(pieces(F.col(column))).alias("_g"))
+    often = small_or_shuffled(durable(rows.groupBy("_g").agg(F.count("*").alias("_n"))))
+    place = F.row_number().over(Window.partitionBy(column).orderBy("_n", "_g"))
+    first = rows.join(often, "_g").withColumn("_k", place).where(F.col("_k") <= F.floor(F.length(column) * lost + 1e-9) + 1)
+    return first.groupBy(column).agg(F.collect_list("_g").alias("prefix"))
 
 
 def fuzzy_match(wanted: DataFrame, known: DataFrame, least: float = 85.0) -> DataFrame:

@@ -50,8 +50,66 @@ def session_continuation(baskets: DataFrame, session: list[str], item: str, neig
     return out.withColumn("hit_rate", F.round(F.try_divide(F.col("hits").cast("double"), F.col("seeds")), 6))
 
 
+def continuation(baskets: DataFrame, session: list[str], item: str, near: DataFrame, ks: tuple[int, ...] = (10, 20, 50), least: int = 3) -> DataFrame:
+    """In one row: sessions of ``least`` items, predictions, hits and hit rates among the first k neighbours, mean reciprocal rank.
+
+    Every ordered pair of items of a session that have a neighbourhood in
+    ``near`` (a, b, place) is a prediction of the one from the other; a target
+    that isn't a neighbour has a reciprocal rank of 0.  Predictions are counted
+    from the sizes of sessions, so that only pairs of neighbours are joined.
+    """
+    held = baskets.select(*session, F.col(item).alias("i")).distinct()
+    sized = held.withColumn("_n", F.count("*").over(Window.partitionBy(*session))).where(F.col("_n") >= least)
+    known = sized.join(near.select(F.col("a").alias("i")).distinct(), "i", "left_semi")
+    sizes = known.groupBy(*session).agg(F.count("*").alias("n")).where("n >= 2")
+    base = sizes.agg(F.count("*").alias("sessions"), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)).alias("predictions"))
+    seeds = known.join(sizes.select(*session), session, "left_semi")
+    guessed = seeds.select(*session, F.col("i").alias("a")).join(near.select("a", "b", "place"), "a").join(seeds.select(*session, F.col("i").alias("b")), [*session, "b"])
+    hit = guessed.agg(*[F.count_if(F.col("place") <= k).alias(f"hits_{k}") for k in ks], F.coalesce(F.sum(1 / F.col("place")), F.lit(0.0)).alias("_r"))
+    out = base.join(hit, how="cross")  # one row each
+    rate = lambda c: F.round(F.coalesce(F.try_divide(c.cast("double"), F.col("predictions")), F.lit(0.0)), 6)
+    return out.select("sessions", "predictions", *[f"hits_{k}" for k in ks], *[rate(F.col(f"hits_{k}")).alias(f"rate_{k}") for k in ks], rate(F.col("_r")).alias("mrr"))
+
+
+def holdout(before: DataFrame, after: DataFrame, near: DataFrame, seed_plays: int = 10, k: int = 20) -> DataFrame:
+    """In one row, whether neighbours foretell discoveries: discoveries, seeds, pool, predicted, baseline, rate, lift.
+
+    ``before`` and ``after`` are the plays of two spans (an ``item`` each row);
+    discoveries are items of the later one alone.  The pool is all items among
+    the first ``k`` neighbours of an item of ``seed_plays`` plays before; the
+    baseline is what a pool of this size would hit among all items of ``near``.
+    """
+    old = before.groupBy("item").agg(F.count("*").alias("n"))
+    new = after.select("item").distinct().join(old.select("item"), "item", "left_anti")
+    universe = near.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+    seeds = old.where(F.col("n") >= seed_plays).select(F.col("item").alias("a"))
+    pool = near.where(F.col("place") <= k).join(seeds, "a", "left_semi").select(F.col("b").alias("item")).distinct()
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    out = one(new, "discoveries")
+    for df, name in ((seeds, "seeds"), (pool, "pool"), (universe, "universe"), (new.join(universe, "item", "left_semi"), "possible"), (new.join(pool, "item", "left_semi"), "predicted")):
+        out = out.join(one(df, name), how="cross")  # one row each
+    expected = F.col("pool") * F.col("possible") / F.greatest("universe", F.lit(1))
+    rate = F.round(F.coalesce(F.try_divide(F.col("predicted").cast("double"), F.col("discoveries")), F.lit(0.0)), 6)
+    return out.select("discoveries", "seeds", "pool", "predicted", F.floor(expected).cast("bigint").alias("baseline"), rate.alias("rate"), F.round(F.try_divide(F.col("predicted").cast("double"), F.floor(expected)), 6).alias("lift"))
+
+
+def compare_runs(runs: DataFrame, names: list[str]) -> DataFrame:
+    """Saved runs (run, metric, value) side by side: a row for each metric, a column for each run asked for, null where a run has none; of repeated values the greatest."""
+    return runs.groupBy("metric").pivot("run", names).agg(F.max("value"))
+
+
+def exact_kendall_p(n: int, s: int) -> float:
+    """The two-sided p-value of Kendall's S for ``n`` points without ties, from the numbers of orders with so many inversions."""
+    ways = [1]
+    for k in range(2, n + 1):
+        ways = [sum(ways[max(0, i - k + 1) : i + 1]) for i in range(len(ways) + k - 1)]
+    most = n * (n - 1) // 2
+    fewer = (most - abs(s)) // 2  # inversions of the rarer side
+    return min(1.0, 2 * sum(ways[: fewer + 1]) / sum(ways))
+
+
 def kendall(points: list[tuple[float, float]]) -> tuple[float, float]:
-    """Kendall's tau-b and its two-sided p-value (normal, with ties) of a short series, such as a value per year."""
+    """Kendall's tau-b and its two-sided p-value of a short series, such as a value per year: exact without ties up to 33 points, else normal."""
     import math
     from collections import Counter
 
@@ -64,6 +122,8 @@ def kendall(points: list[tuple[float, float]]) -> tuple[float, float]:
     base = math.sqrt(free(tx) * free(ty))
     if not base:
         return 0.0, 1.0
+    if n <= 33 and max(tx) == max(ty) == 1:
+        return s / base, exact_kendall_p(n, s)
     spread = n * (n - 1) * (2 * n + 5) - sum(c * (c - 1) * (2 * c + 5) for t in (tx, ty) for c in t)
     z = s / math.sqrt(spread / 18) if spread > 0 else 0.0
     return s / base, math.erfc(abs(z) / math.sqrt(2))

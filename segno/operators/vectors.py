@@ -78,9 +78,9 @@ def poles(vectors: DataFrame, n: int) -> DataFrame:
     return high.unionByName(low).select(F.col("dim").cast("bigint").alias("dim"), "pole", F.col("place").cast("bigint").alias("place"), "vec_id", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
-def weekly_pairs(plays: DataFrame, by: list[str], least: int) -> DataFrame:
-    """(a, b, weeks, cosine), a < b: artists of ``least`` plays heard in the same weeks (by one owner), as a share of the weeks of both (Ochiai)."""
-    rows = plays.where("artist <> ''").select(*by, "artist", F.date_trunc("week", "ts").alias("week"))
+def weekly_pairs(plays: DataFrame, by: list[str], least: int, window: Column | None = None) -> DataFrame:
+    """(a, b, weeks, cosine), a < b: artists of ``least`` plays heard in the same weeks (or other windows) by one owner, as a share of the weeks of both (Ochiai)."""
+    rows = plays.where("artist <> ''").select(*by, "artist", (F.date_trunc("week", "ts") if window is None else window).alias("week"))
     often = rows.groupBy("artist").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("artist")
     weeks = rows.join(often, "artist", "left_semi").distinct()
     alone = weeks.groupBy("artist").agg(F.count("*").alias("c"))

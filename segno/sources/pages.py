@@ -51,6 +51,32 @@ def parse_list(html: str) -> list[tuple[str, int, str, str, str | None, str | No
     return out
 
 
+# Words that a list's title has and a critic's name has not; words of an address at which a list's title begins.
+_LIST_WORDS = ("top", "best", "album", "favorite")
+_STOP_WORDS = {"top", "best", "favorite", "favourite", "albums", "records", "10", "15", "20", "25", "50", "100"}
+
+
+def critic_of(title: str, url: str) -> str:
+    """Whose list it is: what stands before a colon in the title, unless it speaks of a list, else what the address begins with up to such words."""
+    head, colon, _ = title.partition(": ")
+    if colon and not any(w in head.lower() for w in _LIST_WORDS):
+        return head.strip()
+    m = re.search(r"/\d{4}/([^/?#]+)", url)
+    words = m.group(1).split("-") if m else []
+    cut = next((i for i, w in enumerate(words) if w.lower() in _STOP_WORDS or (w.lower() == "the" and i)), len(words))
+    return " ".join(words[:cut] if 0 < cut < len(words) else words[:1]).title()
+
+
+def with_critic(entries: DataFrame, key: str = "url") -> DataFrame:
+    """``list_entries`` with the ``critic`` of each page, from its title and address."""
+
+    @F.pandas_udf("string")
+    def named(title: pd.Series, url: pd.Series) -> pd.Series:
+        return pd.Series([critic_of(t or "", u or "") for t, u in zip(title, url, strict=True)])
+
+    return entries.withColumn("critic", named(F.col("page_title"), F.col(key)))
+
+
 def list_entries(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
     """(key, page_title, rank, artist, title, artist_url, album_url) of the entries of fetched pages; null pages have none."""
 

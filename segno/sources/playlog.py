@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,8 +44,13 @@ def stream_to_plays(raw: DataFrame, least_ms: int = 30_000) -> DataFrame:
     ).sortWithinPartitions("uts")
 
 
-def write_csv(plays: DataFrame, path: str) -> None:
-    plays.write.mode("overwrite").csv(path, header=True, quoteAll=True)
+def write_csv(plays: DataFrame, path: str, keep: Column | None = None) -> tuple[int, int]:
+    """Write a play log, of which rows for which ``keep`` is true; gives how many rows were read and kept, counted while they are written."""
+    counts = Observation()
+    keep = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    seen = plays.withColumn("_keep", keep).observe(counts, F.count(F.lit(1)).alias("read"), F.count_if("_keep").alias("kept"))
+    seen.where("_keep").drop("_keep").write.mode("overwrite").csv(path, header=True, quoteAll=True)
+    return counts.get["read"], counts.get["kept"]
 
 
 def read_critic_json(spark: SparkSession, path: str) -> DataFrame:
@@ -62,6 +67,31 @@ def picks(lists: DataFrame) -> DataFrame:
     )
 
 
+_NAMED = "id: string, name: string"
+_DUMP = f"""id string, title string, date string, country string, `text-representation` struct<language: string>,
+ `artist-credit` array<struct<name: string, joinphrase: string, artist: struct<{_NAMED}>>>,
+ `release-group` struct<`primary-type`: string, `secondary-types`: array<string>>, tags array<struct<name: string, count: bigint>>,
+ `label-info` array<struct<`catalog-number`: string, label: struct<{_NAMED}>>>, _bad string"""
+
+
+def read_dump(spark: SparkSession, path: str) -> DataFrame:
+    """A metadata dump, one JSON object a line; lines that aren't one are skipped."""
+    raw = spark.read.json(path, schema=_DUMP.replace("\n", ""), mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    return raw.where("_bad IS NULL").drop("_bad")
+
+
+def release_tables(dump: DataFrame) -> dict[str, DataFrame]:
+    """The three tables of a dump: releases, release_genres (release_id, genre, count) and release_labels (release_id, label_name, catalog_number), of releases with title and credit."""
+    rows = release_rows(dump)
+    kept = dump.join(rows.select("id"), "id", "left_semi")
+    named = lambda df, c: df.where(F.coalesce(c, F.lit("")) != "")
+    tags = kept.select(F.col("id").alias("release_id"), F.explode("tags").alias("t"))
+    genres = named(tags, F.col("t.name")).select("release_id", F.col("t.name").alias("genre"), F.coalesce("t.count", F.lit(0)).cast("bigint").alias("count"))
+    info = kept.select(F.col("id").alias("release_id"), F.explode("label-info").alias("i"))
+    labels = named(info, F.col("i.label.name")).select("release_id", F.col("i.label.name").alias("label_name"), F.col("i.catalog-number").alias("catalog_number"))
+    return {"releases": rows, "release_genres": genres, "release_labels": labels}
+
+
 def release_rows(dump: DataFrame) -> DataFrame:
     """Releases from a nested metadata dump: a row per release with title and credit.
 
