@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log2
 
 import numpy as np
 import pandas as pd
@@ -29,6 +28,8 @@ ORDER = 4
 SAMPLE = 150
 #: Letters of the longest page that may be in the sample, which the driver holds.
 LONGEST = 20_000
+#: Bits of a byte that nothing is known of.
+UNKNOWN = 12.0
 #: Bits that a change of language between two lines costs.
 SWITCH = 24.0
 #: A stretch is in a language if its bits a letter are at most so many times those of the fitted pages.
@@ -63,29 +64,36 @@ def code_of(label: Column) -> Column:
 class Models:
     """Frozen context trees of several languages, as one table of bits: gram → a row of code lengths."""
 
-    def __init__(self, texts: dict[str, list[str]]):
+    def __init__(self, texts: dict[str, list[str]], final: bool = True):
         self.codes = tuple(c for c in CODES if texts.get(c))
         trees = [self._count(texts[c]) for c in self.codes]
-        grams = set().union(*(t[0] for t in trees)) if trees else set()
-        self.rows = {g: k for k, g in enumerate(sorted(grams, key=lambda g: (len(g), g)))}
-        self.bits = np.zeros((len(self.rows) + 1, len(self.codes)), dtype=np.float32)
-        self.bits[-1] = 12.0  # a byte that no language has
+        grams = sorted(set().union(*(t[0] for t in trees)) if trees else set(), key=lambda g: (len(g), g))
+        self.rows = rows = {g: k for k, g in enumerate(grams)}
+        self.bits = np.zeros((len(grams) + 1, len(self.codes)), dtype=np.float32)
+        self.bits[-1] = UNKNOWN  # a byte that no language has
+        # contexts are numbered once for all languages; a gram's shorter one may be known to none
+        contexts: dict[bytes, int] = {}
+        context = np.fromiter((contexts.setdefault(g[:-1], len(contexts)) for g in grams), dtype=np.int64, count=len(grams))
+        shorter = np.fromiter((rows.get(g[1:], -1) for g in grams), dtype=np.int64, count=len(grams))
+        sizes = np.fromiter(map(len, grams), dtype=np.int64, count=len(grams))
+        levels = [np.flatnonzero(sizes == n) for n in range(1, ORDER + 2)]
         for at, (counts, seen, total) in enumerate(trees):
-            costs: dict[bytes, float] = {}
-            for gram, k in self.rows.items():  # shorter ones come first
-                context, n = gram[:-1], counts.get(gram)
-                both = total.get(context, 0) + seen.get(context, 0)
-                if n:
-                    cost = log2(both / n)
-                elif not context:
-                    cost = log2(max(2, both) / max(1, seen.get(context, 0))) + 8.0
+            n = np.fromiter((counts.get(g, 0) for g in grams), dtype=np.float64, count=len(grams))
+            met = np.fromiter((seen.get(c, 0) for c in contexts), dtype=np.float64, count=len(contexts))[context]
+            both = np.fromiter((total.get(c, 0) for c in contexts), dtype=np.float64, count=len(contexts))[context] + met
+            cost = np.zeros(len(grams) + 1)
+            cost[-1] = UNKNOWN
+            for level in levels:  # shorter ones come first
+                own, whole, kinds = n[level], both[level], met[level]
+                known = np.log2(np.maximum(whole, 1) / np.maximum(own, 1))
+                if level.size and sizes[level[0]] == 1:
+                    other = np.log2(np.maximum(whole, 2) / np.maximum(kinds, 1)) + 8.0
                 else:
-                    shorter = gram[1:]
-                    cost = (log2(both / seen[context]) if both else 0.0) + (costs[shorter] if shorter in costs else 12.0)
-                costs[gram] = cost
-                self.bits[k, at] = cost
+                    other = np.where(whole > 0, np.log2(np.maximum(whole, 1) / np.maximum(kinds, 1)), 0.0) + cost[shorter[level]]
+                cost[level] = np.where(own > 0, known, other)
+            self.bits[:-1, at] = cost[:-1]
         self.typical = np.ones(len(self.codes))
-        for at, c in enumerate(self.codes):
+        for at, c in enumerate(self.codes) if final else ():
             bits = letters = 0.0
             for w, n in Counter(w for t in texts[c] for w in _WORDS(t.lower())).most_common(5000):
                 bits += n * float(self.word(w)[at])
@@ -217,15 +225,17 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Models:
     """
     labelled = documents.where(F.length("text").between(200, LONGEST)).select("doc_id", code_of(F.col("lang")).alias("code")).where("code IS NOT NULL")
     order = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "code")
-    ids = {r["doc_id"]: r["code"] for r in chosen.collect()}  # at most 8 * sample rows
-    if not ids:
-        return Models({})
-    picked = documents.where(F.col("doc_id").isin(list(ids))).select("doc_id", "text", F.col("page_lines.x0").alias("x0"), F.col("page_lines.y0").alias("y0"))
+    chosen = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).groupBy("doc_id").agg(F.min("code").alias("code"))
+    texts = documents.where(F.length("text").between(200, LONGEST)).select("doc_id", "text", F.col("page_lines.x0").alias("x0"), F.col("page_lines.y0").alias("y0"))
+    # at most 8 * sample rows, broadcast and then brought here
+    picked = texts.join(F.broadcast(chosen), "doc_id")
     pages: dict[str, list[list[str]]] = {}
-    for r in picked.dropDuplicates(["doc_id"]).collect():
-        pages.setdefault(ids[r["doc_id"]], []).append(reading_order(r["text"], r["x0"], r["y0"]))
-    first = Models({c: ["\n".join(p) for p in ps] for c, ps in pages.items()})
+    seen: set[int] = set()
+    for r in sorted(picked.collect(), key=lambda r: (r["doc_id"], r["text"])):
+        if r["doc_id"] not in seen:
+            seen.add(r["doc_id"])
+            pages.setdefault(r["code"], []).append(reading_order(r["text"], r["x0"], r["y0"]))
+    first = Models({c: ["\n".join(p) for p in ps] for c, ps in pages.items()}, final=False)
     reader, clean = Reader(first, 50_000), {}
     for c, ps in pages.items():
         for p in ps:
