@@ -244,15 +244,19 @@ def encode_corpus(documents: DataFrame, vocabulary: str, key: str = "doc_id", te
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(shared.value, vocabulary)
+        machine, collecting = transducer(shared.value, vocabulary), gc.isenabled()
         gc.disable()  # the machine's many tuples hold no cycles
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):  # bounds what is held, whatever the batch
-                part = batch.slice(at, 512)
-                coded = [machine.encode(t) if t else [] for t in part.column(1).to_pylist()]
-                offsets = np.zeros(len(coded) + 1, dtype=np.int32)
-                np.cumsum([len(c) for c in coded], out=offsets[1:])
-                values = np.fromiter((i for c in coded for i in c), dtype=np.int32, count=offsets[-1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[key, "ids"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):  # bounds what is held, whatever the batch
+                    part = batch.slice(at, 512)
+                    coded = [machine.encode(t) if t else [] for t in part.column(1).to_pylist()]
+                    offsets = np.zeros(len(coded) + 1, dtype=np.int32)
+                    np.cumsum([len(c) for c in coded], out=offsets[1:])
+                    values = np.fromiter((i for c in coded for i in c), dtype=np.int32, count=offsets[-1])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[key, "ids"])
+        finally:
+            if collecting:
+                gc.enable()
 
     return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
