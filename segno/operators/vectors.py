@@ -26,39 +26,53 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block: int = 4096) -> DataFrame:
     """(query_id, vec_id, similarity, place): the ``k`` most similar vectors to each query, by cosine; the query itself isn't.
 
-    A stated set of queries is broadcast in blocks of bounded size; every
-    partition keeps its own ``k`` best per query with one matrix product a
-    batch, so no pair below those is ever sent.
+    Queries are numbered into blocks of bounded size; every block meets every
+    part of the vectors in one shuffle of either, so neither side is held
+    whole by any task or the driver: a task has one block of queries and reads
+    its part of the vectors batch by batch.  It keeps its own ``k`` best per
+    query, so no pair below those is ever sent.  Null vectors are in no answer.
     """
-    rows = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding")
-    asked = [(r["vec_id"], r["embedding"]) for r in queries.where("embedding IS NOT NULL").select("vec_id", "embedding").toLocalIterator()]
-    schema = "query_id bigint, vec_id bigint, similarity double"
-    parts = []
-    for at in range(0, max(1, len(asked)), block):
-        shared = rows.sparkSession.sparkContext.broadcast((np.array([i for i, _ in asked[at : at + block]], dtype=np.int64), _rows([v for _, v in asked[at : at + block]])))
-
-        def search(batches, shared=shared):
-            ids, q = shared.value
-            for pdf in batches:
-                if not len(ids) or pdf.empty:
+    rows = vectors.where("embedding IS NOT NULL").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"))
+    asked = durable(queries.where("embedding IS NOT NULL").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("embedding")))
+    blocks = max(1, -(-asked.count() // block))
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism // blocks)
+    numbers = lambda n: F.array(*map(F.lit, range(n))) if n <= 64 else F.sequence(F.lit(0), F.lit(n - 1))
+    hashed = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    left = asked.select(hashed(blocks, 1).alias("_b"), F.explode(numbers(parts)).alias("_p"), F.lit(0).alias("_side"), "vec_id", "embedding")
+    right = rows.select(F.explode(numbers(blocks)).alias("_b"), hashed(parts, 2).alias("_p"), F.lit(1).alias("_side"), "vec_id", "embedding")
+    cell = F.col("_b") * parts + F.col("_p")
+    met = left.unionByName(right).repartition(blocks * parts, cell).sortWithinPartitions("_b", "_p", "_side")
+
+    def search(batches):
+        now, ids, held, q = None, [], [], None
+        for pdf in batches:
+            for (b, p, side), part in pdf.groupby(["_b", "_p", "_side"], sort=True):
+                if (b, p) != now:
+                    now, ids, held, q = (b, p), [], [], None
+                if side == 0:
+                    ids += part["vec_id"].tolist()
+                    held += part["embedding"].tolist()
                     continue
-                found = q @ _rows(pdf["embedding"].tolist()).T
-                own = pdf["vec_id"].to_numpy()
-                found[ids[:, None] == own[None, :]] = -np.inf
-                n = min(k, found.shape[1])
-                # the id settles equal similarities
-                order = np.lexsort((np.broadcast_to(own, found.shape), -np.round(found, 9)), axis=1)[:, :n]
-                sims = np.take_along_axis(found, order, axis=1)
-                out = pd.DataFrame({"query_id": np.repeat(ids, n), "vec_id": own[order].ravel(), "similarity": sims.ravel()})
-                yield out[out["similarity"] >= least]
-
-        parts.append(rows.mapInPandas(search, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                if q is None:
+                    q, names = _rows(held), np.array(ids, dtype=np.int64)
+                if not ids:
+                    continue
+                own = part["vec_id"].to_numpy()
+                for at in range(0, len(own), 8192):
+                    mine = own[at : at + 8192]
+                    found = q @ _rows(part["embedding"].tolist()[at : at + 8192]).T
+                    found[names[:, None] == mine[None, :]] = -np.inf
+                    n = min(k, found.shape[1])
+                    # the id settles equal similarities
+                    order = np.lexsort((np.broadcast_to(mine, found.shape), -np.round(found, 9)), axis=1)[:, :n]
+                    sims = np.take_along_axis(found, order, axis=1)
+                    out = pd.DataFrame({"query_id": np.repeat(names, n), "vec_id": mine[order].ravel(), "similarity": sims.ravel()})
+                    yield out[out["similarity"] >= least]
+
+    out = met.mapInPandas(search, "query_id bigint, vec_id bigint, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id")
     return out.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= k)
 

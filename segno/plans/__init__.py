@@ -36,7 +36,13 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="segno-checkpoint-")
+    """The session's shared folder; a machine's own temporary one serves a local session only, so on a cluster its lack is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return tempfile.mkdtemp(prefix="segno-checkpoint-")
 
 
 _shipped: set[str] = set()
@@ -48,7 +54,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     folder = Path(__file__).resolve().parents[1]
-    shared = checkpoint_dir(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""  # the driver serves the file, so any folder of its own does
     place = Path(shared.removeprefix("file://")) if shared.startswith(("/", "file:///")) else Path(tempfile.mkdtemp(prefix="segno-"))
     place.mkdir(parents=True, exist_ok=True)
     target = place / f"segno-{context.applicationId}.zip"

@@ -120,8 +120,7 @@ def _ranked_picks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _colisting_space(spark: SparkSession, d: str) -> DataFrame:
-    pairs = V.listed_together(_picks(spark, d), 5).where("weight > 0.02")
-    return V.embed(pairs, "weight", 32)
+    return V.embed(V.listed_together(_picks(spark, d)), "weight", 32)
 
 
 def _bridges(spark: SparkSession, d: str) -> DataFrame:
