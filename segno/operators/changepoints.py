@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segno.plans import with_facts
+
 OTHER = "__OTHER__"
 
 
@@ -47,7 +49,8 @@ def bin_counts(plays: DataFrame, by: list[str], spec: Segmentation) -> DataFrame
     step = F.expr("interval 1 month" if spec.bins == "month" else "interval 7 days")
     spine = rows.groupBy(*by).agg(F.min("bin").alias("a"), F.max("bin").alias("z")).select(*by, F.explode(F.sequence("a", "z", step)).alias("bin"))
     words = known.select(*by, escaped(F.col("artist")).alias("artist")).unionByName(known.select(*by).distinct().withColumn("artist", F.lit(OTHER)))
-    grid = spine.join(words, by) if by else spine.join(F.broadcast(words), F.lit(True))
+    # an owner's words are no more than the vocabulary and one
+    grid = with_facts(spine, words.groupBy(*by).agg(F.collect_list("artist").alias("_words")), by).select(*by, "bin", F.explode("_words").alias("artist"))
     return grid.join(named.groupBy(*by, "bin", "artist").agg(F.sum("n").alias("n")), [*by, "bin", "artist"], "left").select(*by, F.col("bin").cast("string").alias("bin"), "artist", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from segno.functions.similarity import ratio_col
 from segno.functions.text import joined_first, match_key, stripped
-from segno.plans import durable, small_or_shuffled
+from segno.plans import durable, small_or_shuffled, with_facts
 
 
 def keyed(df: DataFrame, artist: str = "artist", title: str = "title") -> DataFrame:
@@ -57,7 +57,7 @@ def validated_insights(picks: DataFrame, plays: DataFrame, least: int) -> DataFr
     artist = albums.groupBy("a_key").agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("k"), "a_key"))["a_key"].alias("top_artist"))
     years = keyed(picks).where("year IS NOT NULL").select("a_key", "t_key", "year").distinct().join(albums.select("a_key", "t_key"), ["a_key", "t_key"], "left_semi")
     year = years.groupBy("year").agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("k"), "year"))["year"].alias("top_year"))
-    return base.join(artist, how="cross").join(year, how="cross")  # one row each
+    return with_facts(with_facts(base, artist), year)
 
 
 def in_years(picks: DataFrame, low: int, high: int) -> DataFrame:
@@ -299,7 +299,7 @@ def review_summary(picks: DataFrame) -> DataFrame:
     sizes = rows.groupBy("list_id").agg(F.count("*").alias("n"))
     base = sizes.agg(F.count("*").alias("lists"), F.sum("n").alias("entries"), F.round(F.avg("n"), 1).alias("mean_size"), F.expr("percentile_disc(0.5000001) WITHIN GROUP (ORDER BY n)").cast("bigint").alias("median_size"))
     distinct = rows.agg(F.countDistinct("a_key", "t_key").alias("albums"), F.countDistinct("a_key").alias("artists"))
-    return base.join(distinct, how="cross")  # one row each
+    return with_facts(base, distinct)
 
 
 def review_albums(picks: DataFrame, plays: DataFrame, darling: int = 5, consensus: int = 10, most: int = 15) -> DataFrame:

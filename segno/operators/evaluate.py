@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from segno.plans import with_facts
+
 
 def ndcg(ranked: DataFrame, by: list[str], k: int) -> DataFrame:
     """(…, ndcg): gain of the first ``k`` by ``place``, against the best order of those same ``k``; 0 where nothing is relevant."""
@@ -66,7 +68,7 @@ def continuation(baskets: DataFrame, session: list[str], item: str, near: DataFr
     seeds = known.join(sizes.select(*session), session, "left_semi")
     guessed = seeds.select(*session, F.col("i").alias("a")).join(near.select("a", "b", "place"), "a").join(seeds.select(*session, F.col("i").alias("b")), [*session, "b"])
     hit = guessed.agg(*[F.count_if(F.col("place") <= k).alias(f"hits_{k}") for k in ks], F.coalesce(F.sum(1 / F.col("place")), F.lit(0.0)).alias("_r"))
-    out = base.join(hit, how="cross")  # one row each
+    out = with_facts(base, hit)
     rate = lambda c: F.round(F.coalesce(F.try_divide(c.cast("double"), F.col("predictions")), F.lit(0.0)), 6)
     return out.select("sessions", "predictions", *[f"hits_{k}" for k in ks], *[rate(F.col(f"hits_{k}")).alias(f"rate_{k}") for k in ks], rate(F.col("_r")).alias("mrr"))
 
@@ -87,7 +89,7 @@ def holdout(before: DataFrame, after: DataFrame, near: DataFrame, seed_plays: in
     one = lambda df, name: df.agg(F.count("*").alias(name))
     out = one(new, "discoveries")
     for df, name in ((seeds, "seeds"), (pool, "pool"), (universe, "universe"), (new.join(universe, "item", "left_semi"), "possible"), (new.join(pool, "item", "left_semi"), "predicted")):
-        out = out.join(one(df, name), how="cross")  # one row each
+        out = with_facts(out, one(df, name))
     expected = F.col("pool") * F.col("possible") / F.greatest("universe", F.lit(1))
     rate = F.round(F.coalesce(F.try_divide(F.col("predicted").cast("double"), F.col("discoveries")), F.lit(0.0)), 6)
     return out.select("discoveries", "seeds", "pool", "predicted", F.floor(expected).cast("bigint").alias("baseline"), rate.alias("rate"), F.round(F.try_divide(F.col("predicted").cast("double"), F.floor(expected)), 6).alias("lift"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from segno.functions.text import joined_first
 from segno.operators.counts import familiarity, listened_albums, ranked
 from segno.operators.sessions import assign_sessions
+from segno.plans import with_facts
 
 DAY = 86_400
 #: The days of a week and the bounds of lags in years, in the order they are shown.
@@ -96,7 +97,7 @@ def totals(plays: DataFrame, by: list[str]) -> DataFrame:
     span = F.max("year") - F.min("year") + 1
     out = years.groupBy(*by).agg(F.sum("n").alias("plays"), span.alias("years"), F.min(F.struct((-F.col("n")).alias("k"), "year", "n")).alias("p"))
     artists = _named(plays).select(*by, "artist").distinct().groupBy(*by).agg(F.count("*").alias("artists"))
-    joined = out.join(artists, by, "left") if by else out.join(artists, how="cross")
+    joined = with_facts(out, artists, by, "left")
     return joined.select(*by, "plays", F.coalesce("artists", F.lit(0)).alias("artists"), "years", F.round(F.col("plays") / F.col("years"), 2).alias("plays_a_year"), F.col("p.year").alias("peak_year"), F.col("p.n").alias("peak_plays"))
 
 
@@ -121,7 +122,7 @@ def artist_sparklines(plays: DataFrame, by: list[str], limit: int = 25) -> DataF
     best = years.groupBy(*by, "artist").agg(F.sum("n").alias("plays"), F.min("year").alias("first_year"), F.count("*").alias("years_active"))
     best = ranked(best, by, [F.desc("plays"), F.asc("artist")], limit)
     spans = plays.groupBy(*by).agg(F.sequence(F.min("year"), F.max("year")).alias("all"))
-    spine = (best.join(spans, by) if by else best.join(spans, how="cross")).select(*by, "artist", "plays", "first_year", "years_active", "rank", F.explode("all").alias("year"))
+    spine = with_facts(best, spans, by).select(*by, "artist", "plays", "first_year", "years_active", "rank", F.explode("all").alias("year"))
     filled = spine.join(years, [*by, "artist", "year"], "left").fillna(0, ["n"])
     line = F.transform(F.sort_array(F.collect_list(F.struct("year", "n"))), lambda r: r["n"])
     out = filled.groupBy(*by, "artist", "plays", "first_year", "years_active", "rank").agg(line.alias("v"))
@@ -134,7 +135,7 @@ def consistent_artists(plays: DataFrame, by: list[str], most: int = 10) -> DataF
     years = _years(plays, by)
     spans = plays.groupBy(*by).agg((F.max("year") - F.min("year") + 1).alias("span"))
     active = years.groupBy(*by, "artist").agg(F.count("*").alias("years_active"), F.sum("n").alias("plays"))
-    met = active.join(spans, by) if by else active.join(spans, how="cross")
+    met = with_facts(active, spans, by)
     return met.where(F.col("years_active") >= F.least(F.lit(most), F.col("span") - 1)).drop("span")
 
 
@@ -252,7 +253,7 @@ def artist_streaks(plays: DataFrame, by: list[str]) -> DataFrame:
     runs = days.withColumn("i", island).groupBy(*by, "artist", "i").agg(F.count("*").alias("days"), F.min("d").alias("a"), F.max("d").alias("z"))
     best = runs.where("days >= 2").groupBy(*by, "artist").agg(F.min(F.struct((-F.col("days")).alias("k"), "a", "z", "days")).alias("b"))
     last = plays.groupBy(*by).agg(F.max(day).alias("now"))
-    met = best.join(last, by) if by else best.join(last, how="cross")
+    met = with_facts(best, last, by)
     text = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), c.cast("int")).cast("string")
     return met.select(*by, "artist", F.col("b.days").alias("days"), text(F.col("b.a")).alias("first_day"), text(F.col("b.z")).alias("last_day"), (F.col("b.z") >= F.col("now") - 1).alias("active"))
 
@@ -265,7 +266,7 @@ def discovery_days(plays: DataFrame, by: list[str], artist: str, most: int = 5)
     """
     mine = plays.where(F.lower("artist") == artist.lower())
     first = mine.groupBy(*by).agg(F.min(F.struct("uts", "play_id", "track", "album")).alias("f")).select(*by, F.col("f.uts").alias("t"), F.col("f.track").alias("first_track"), F.col("f.album").alias("first_album"))
-    near = plays.join(F.broadcast(first), by) if by else plays.join(F.broadcast(first), how="cross")
+    near = with_facts(plays, first, by)
     side = F.when((F.col("uts") >= F.col("t") - DAY) & (F.col("uts") < F.col("t")), "before").when((F.col("uts") > F.col("t")) & (F.col("uts") <= F.col("t") + DAY), "after")
     around = near.withColumn("side", side).where("side IS NOT NULL AND artist <> ''").where(F.lower("artist") != artist.lower()).groupBy(*by, "side", "artist").agg(F.count("*").alias("n"))
     placed = around.withColumn("k", F.row_number().over(Window.partitionBy(*by, "side").orderBy(F.desc("n"), "artist")))

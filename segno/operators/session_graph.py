@@ -13,7 +13,7 @@ from segno.functions.text import match_key, stripped
 from segno.operators.graph import centrality, collected, communities, cut_vertices
 from segno.operators.pairs import counted_pairs
 from segno.operators.sessions import assign_sessions
-from segno.plans import durable
+from segno.plans import durable, with_facts
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def session_graph(plays: DataFrame, entity: str, config: GraphConfig = GraphConf
     counts = held.agg(F.sum("n").alias("source_plays"), F.countDistinct(entity, "session_start").alias("sessions"), F.coalesce(F.sum(F.when(F.col("node").isNull(), F.col("n"))), F.lit(0)).alias("empty_artist"))
     found = all_nodes.agg(F.count("*").alias("artists"), F.count_if(F.col("plays") < config.least_plays).alias("artists_below"))
     weak = pairs.agg(F.count_if(F.col("n") < config.least_shared).alias("edges_below"))
-    return SessionGraph(nodes, edges, counts.join(found, how="cross").join(weak, how="cross"))  # one row each
+    return SessionGraph(nodes, edges, with_facts(with_facts(counts, found), weak))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def degree_measures(graph: SessionGraph) -> DataFrame:
     """(node, degree, strength, degree_centrality), isolated nodes included."""
     n = graph.nodes.agg(F.count("*").alias("_all"))
     links = both_ways(graph.edges).groupBy("node").agg(F.count("*").alias("degree"), F.sum("shared_sessions").alias("strength"))
-    out = graph.nodes.select("node").join(links, "node", "left").fillna(0, ["degree", "strength"]).join(F.broadcast(n), how="cross")
+    out = with_facts(graph.nodes.select("node").join(links, "node", "left").fillna(0, ["degree", "strength"]), n)
     # alone in the graph a node has all the links it can have
     share = F.when(F.col("_all") > 1, F.round(F.col("degree") / (F.col("_all") - 1), 12)).otherwise(1.0)
     return out.select("node", "degree", "strength", share.alias("degree_centrality"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segno.operators.vectors import dot, unit
+from segno.plans import with_facts
 
 MODES = ("adventurous", "familiar", "bridge")
 
@@ -21,7 +22,7 @@ def temporal_matrix(plays: DataFrame, by: list[str], least: int = 5, window: str
     often = rows.groupBy("artist").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("artist")
     cells = rows.join(often, "artist", "left_semi").groupBy(*by, "window", "artist").agg(F.count("*").alias("n"))
     windows = cells.select(*by, "window").distinct().agg(F.count("*").alias("w"))
-    met = cells.withColumn("df", F.count("*").over(Window.partitionBy("artist"))).join(F.broadcast(windows), how="cross")
+    met = with_facts(cells.withColumn("df", F.count("*").over(Window.partitionBy("artist"))), windows)
     value = F.log1p("n") * F.log(F.col("w") / (F.col("df") + 1))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*by, "window")))
     return met.withColumn("v", value).select(*by, "window", "artist", F.when(norm > 0, F.col("v") / norm).otherwise(0.0).alias("value"))
@@ -77,13 +78,13 @@ def similar_to(near: DataFrame, names: list[str], k: int = 10) -> DataFrame:
 
 def most_similar(vectors: DataFrame, key: str, taste: DataFrame, least: float = -1.0, limit: int = 10) -> DataFrame:
     """(key, similarity): owners' unit vectors nearest to one taste vector (one row), first by similarity, then key."""
-    scored = vectors.join(F.broadcast(taste.select(F.col("embedding").alias("_t"))), how="cross").select(key, F.round(dot(F.col("embedding"), F.col("_t")), 6).alias("similarity"))
+    scored = with_facts(vectors, taste.select(F.col("embedding").alias("_t"))).select(key, F.round(dot(F.col("embedding"), F.col("_t")), 6).alias("similarity"))
     return scored.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), key).limit(limit)
 
 
 def drift(vectors: DataFrame, key: str, taste: DataFrame, step: float = 0.05) -> DataFrame:
     """(key, years, first, last, trend): how near an owner's yearly unit vectors come to a taste vector (one row), in the first and the last year; the trend is rising or falling by ``step``."""
-    each = vectors.join(F.broadcast(taste.select(F.col("embedding").alias("_t"))), how="cross").select(key, "year", dot(F.col("embedding"), F.col("_t")).alias("s"))
+    each = with_facts(vectors, taste.select(F.col("embedding").alias("_t"))).select(key, "year", dot(F.col("embedding"), F.col("_t")).alias("s"))
     out = each.groupBy(key).agg(F.count("*").alias("years"), F.round(F.min_by("s", "year"), 6).alias("first"), F.round(F.max_by("s", "year"), 6).alias("last"))
     moved = F.col("last") - F.col("first")
     return out.withColumn("trend", F.when(moved > step, "rising").when(moved < -step, "falling").otherwise("stable"))

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segno.plans import with_facts
+
 #: How a bound of each grain is written.
 BOUNDS = {"month": r"(\d{4})-(0[1-9]|1[0-2])", "year": r"(\d{4})"}
 
@@ -81,13 +83,13 @@ def trajectories(plays: DataFrame, by: list[str], names: list[str], low: int, hi
     """For each owner and asked name, in the order asked: status ok or not_found, the name shown, plays and active periods in the window.
 
     A name is found if the whole log has it, also without plays in the
-    window.  The list asked for is the only thing crossed with owners.
+    window.  Every owner has a row for each name.
     """
     if not names or not all(isinstance(x, str) and x for x in names):
         raise ValueError("names are asked for, none of them empty")
-    asked = plays.sparkSession.createDataFrame([(k, x, x.lower()) for k, x in enumerate(names)], "ordinal bigint, asked string, key string")
     owners = plays.select(*by).distinct() if by else plays.sparkSession.range(1).select()
-    wanted = owners.join(F.broadcast(asked), how="cross")
+    asked = F.array(*[F.struct(F.lit(k).cast("bigint").alias("ordinal"), F.lit(x).alias("asked"), F.lit(x.lower()).alias("key")) for k, x in enumerate(names)])
+    wanted = owners.select(*by, F.explode(asked).alias("q")).select(*by, "q.*")
     shown = display_names(plays.where(F.lower("artist").isin([x.lower() for x in names])), by)
     sums = counts_by_period(plays, by, grain).where(F.col("period").between(low, high) & F.col("key").isin([x.lower() for x in names]))
     sums = sums.groupBy(*by, "key").agg(F.sum("n").alias("plays"), F.count_if(F.col("n") >= active).alias("active_periods"))
@@ -114,7 +116,7 @@ def observation(line: DataFrame, plays: DataFrame, by: list[str], low: int, high
     source = plays.groupBy(*by).agg(F.min(period_of(grain)).alias("source_start"), F.max(period_of(grain)).alias("source_end"))
     first, last = F.min(F.when(F.col("active"), F.col("period"))), F.max(F.when(F.col("active"), F.col("period")))
     ends = line.groupBy(*by, "key").agg(first.alias("f"), last.alias("l"))
-    out = ends.join(source, by) if by else ends.join(F.broadcast(source), how="cross")
+    out = with_facts(ends, source, by)
     n = high - low + 1
     return out.select(
         *by, "key", "source_start", "source_end", (F.col("source_start") < low).alias("left_truncated"), (F.col("source_end") > high).alias("right_truncated"), (F.col("source_end") <= high).alias("right_censored"),
@@ -170,10 +172,6 @@ def _members(plays: DataFrame, by: list[str], grain: str, activity: str, start:
     return bounds, members, n
 
 
-def _with_bounds(df: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
-    return df.join(bounds, by) if by else df.join(F.broadcast(bounds), how="cross")
-
-
 def cohort_retention(
     plays: DataFrame, by: list[str], offsets: list[int], least: int = 1, active: int = 1, grain: str = "month", activity: str = "month", start: str | None = None, end: str | None = None
 ) -> DataFrame:
@@ -190,7 +188,7 @@ def cohort_retention(
     bounds, members, n = _members(plays, by, grain, activity, start, end, least)
     each = F.explode(F.array(*[F.lit(k).cast("bigint") for k in sorted(set(offsets))])).alias("offset")
     spine = bounds.select(*by, F.explode(F.sequence("low", "high")).alias("cohort")).select("*", each)
-    asked = _with_bounds(members.select("*", each), bounds, by).withColumn("period", F.col("d") + F.col("offset")).where("period <= fin")
+    asked = with_facts(members.select("*", each), bounds, by).withColumn("period", F.col("d") + F.col("offset")).where("period <= fin")
     met = asked.join(n.select(*by, "key", "period", "n"), [*by, "key", "period"], "left")
     cells = met.groupBy(*by, "cohort", "offset").agg(F.count("*").alias("eligible"), F.count_if(F.coalesce("n", F.lit(0)) >= active).alias("retained"))
     out = spine.join(cells, [*by, "cohort", "offset"], "left").fillna(0, ["eligible", "retained"])
@@ -202,7 +200,7 @@ def cohort_summary(plays: DataFrame, by: list[str], least: int = 1, active: int
     bounds, members, n = _members(plays, by, grain, activity, start, end, least)
     spine = bounds.select(*by, F.explode(F.sequence("low", "high")).alias("cohort"))
     last = n.where(F.col("n") >= active).select(*by, "key", "period")
-    within = _with_bounds(members, bounds, by).join(last, [*by, "key"], "left")
+    within = with_facts(members, bounds, by).join(last, [*by, "key"], "left")
     came_back = within.groupBy(*by, "key", "cohort", "first_n").agg(F.coalesce(F.max((F.col("period") > F.col("d")) & (F.col("period") <= F.col("fin"))), F.lit(False)).alias("later"))
     sums = came_back.groupBy(*by, "cohort").agg(F.count("*").alias("size"), F.round(F.avg("first_n"), 6).alias("mean_first"), F.round(F.median("first_n"), 6).alias("median_first"), F.count_if("later").alias("later"))
     out = spine.join(sums, [*by, "cohort"], "left").fillna(0, ["size", "later"])

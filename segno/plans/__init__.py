@@ -23,6 +23,13 @@ def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, most) else df
 
 
+def with_facts(df: DataFrame, facts: DataFrame, by: list[str] = [], how: str = "inner") -> DataFrame:  # noqa: B006 - never changed
+    """Rows with the facts of their owner.  Without owners ``facts`` is one row, such as an ungrouped aggregate, and belongs to every row."""
+    if by:
+        return df.join(facts, by, how)
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(facts.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the session's ``spark.checkpoint.dir``.
 
