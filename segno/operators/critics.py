@@ -274,6 +274,14 @@ def profiles(picks: DataFrame, plays: DataFrame, signature: int = 2) -> DataFram
     return scored.join(ahead, "s").withColumn("rank", rank.cast("bigint")).drop("s", "ahead").join(artists, "critic")
 
 
+def unheard_weighted(picks: DataFrame, plays: DataFrame) -> DataFrame:
+    """(a_key, t_key, critics, years, weight): unheard albums, with the ``overlap`` of the critics who list them added up."""
+    albums = keyed(picks).where("critic IS NOT NULL").groupBy("a_key", "t_key", "critic").agg(F.collect_set("year").alias("y"))
+    new = albums.join(heard(plays), ["a_key", "t_key"], "left_anti").join(overlap(picks, plays).select("critic", "overlap"), "critic")
+    years = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("y")))).cast("array<string>"), ",")
+    return new.groupBy("a_key", "t_key").agg(F.count("*").alias("critics"), years.alias("years"), F.round(F.sum("overlap"), 6).alias("weight"))
+
+
 def resolve_critic(picks: DataFrame, name: str) -> str | None:
     """The critic of this name, whatever its case, else the first in order whose name holds it; None if there is none."""
     names = picks.where("critic IS NOT NULL").select("critic").distinct()

@@ -42,16 +42,6 @@ def follow_through(ranked: DataFrame, by: list[str], thresholds: list[int]) -> D
     return ranked.groupBy(*by).agg(F.count("*").alias("items"), *[F.round(F.count_if(F.col("relevance") >= t) / F.count("*"), 6).alias(f"rate_{t}") for t in thresholds])
 
 
-def session_continuation(baskets: DataFrame, session: list[str], item: str, neighbours: DataFrame, k: int) -> DataFrame:
-    """(seeds, hits, hit_rate): how often another item of the session is among an item's ``k`` neighbours (a, b, place); an item stands for itself in no session."""
-    held = baskets.select(*session, item).distinct()
-    size = held.withColumn("_n", F.count("*").over(Window.partitionBy(*session))).where(F.col("_n") >= 3)
-    seeds = size.select(*session, F.col(item).alias("a"))
-    guessed = seeds.join(neighbours.where(F.col("place") <= k).select("a", "b"), "a").join(size.select(*session, F.col(item).alias("b")), [*session, "b"]).select(*session, "a").distinct().withColumn("hit", F.lit(1))
-    out = seeds.join(guessed, [*session, "a"], "left").agg(F.count("*").alias("seeds"), F.count("hit").alias("hits"))
-    return out.withColumn("hit_rate", F.round(F.try_divide(F.col("hits").cast("double"), F.col("seeds")), 6))
-
-
 def continuation(baskets: DataFrame, session: list[str], item: str, near: DataFrame, ks: tuple[int, ...] = (10, 20, 50), least: int = 3) -> DataFrame:
     """In one row: sessions of ``least`` items, predictions, hits and hit rates among the first k neighbours, mean reciprocal rank.
 

@@ -207,7 +207,7 @@ def diversified(scored: DataFrame, by: list[str], item: str, group: str, score:
 
 def weighted_sample(df: DataFrame, item: str, weight: str, n: int, seed: int = 7) -> DataFrame:
     """``n`` items drawn with probability by weight: the smallest of exponential waiting times, from a hash of item and seed."""
-    u = (F.pmod(F.xxhash64(F.col(item), F.lit(seed)), F.lit(2**52)) + 0.5) / 2**52
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(item))), 1, 13), 16, 10).cast("double") + 0.5) / 2**52
     return df.where(F.col(weight) > 0).withColumn("_wait", -F.log(u) / F.col(weight)).orderBy("_wait", item).limit(n).drop("_wait")
 
 

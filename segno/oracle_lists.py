@@ -27,5 +27,8 @@ SQL: dict[str, str] = {
  SELECT l.*, plays, first_uts, peak_month FROM l LEFT JOIN h USING (a_key, t_key)""",
     "artist_in_lists": f"""WITH {P}, {PICKS}, {HEARD}, l AS (SELECT t_key, min(year) AS year, count(*) AS listings, coalesce(array_to_string(list_sort(list_distinct(list(critic))), '|'), '') AS critics FROM pk WHERE {_PAPER} GROUP BY t_key)
  SELECT l.*, coalesce(plays, 0) AS plays FROM l LEFT JOIN (SELECT * FROM hd WHERE {_PAPER}) USING (t_key)""",
+    "unheard_weighted": f"""WITH {P}, {PICKS}, {HEARD}, t AS (SELECT DISTINCT critic, a_key, t_key FROM pk WHERE critic IS NOT NULL), ov AS (SELECT critic, coalesce(round(count(hd.plays) / nullif(least(count(*), (SELECT count(*) FROM hd)), 0), 6), 0) AS o FROM t LEFT JOIN hd USING (a_key, t_key) GROUP BY critic),
+ w AS (SELECT a_key, t_key, count(*) AS critics, round(sum(o), 6) AS weight FROM t ANTI JOIN hd USING (a_key, t_key) JOIN ov USING (critic) GROUP BY ALL), y AS (SELECT a_key, t_key, coalesce(array_to_string(list_sort(list_distinct(list(year))), ','), '') AS years FROM pk WHERE critic IS NOT NULL GROUP BY ALL)
+ SELECT w.*, years FROM w JOIN y USING (a_key, t_key)""",
     "champions": f"WITH {P}, {PICKS}, {HEARD}, {ALIGN}, t AS (SELECT critic, count(*) AS times FROM pk WHERE {_PAPER} AND critic IS NOT NULL GROUP BY critic) SELECT critic, alignment, times FROM t JOIN al USING (critic)",
 }

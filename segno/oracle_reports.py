@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from segno.oracle import FAM, REL, SONGS, YEARS, P, _top
+from segno.oracle import FAM, REL, SONGS, YEARS, SQL as CORE, P, _top
 
 _PAPER = "lower(artist) = 'the paper estuaries'"
 _SHORT = "release_type IN ('ep', 'single', 'broadcast')"
@@ -79,4 +79,15 @@ SQL: dict[str, str] = {
  a AS (SELECT f.username, CASE WHEN p.uts < t THEN 'b' ELSE 'a' END AS side, artist, count(*) AS n FROM f JOIN p ON p.username = f.username AND p.uts >= t - 86400 AND p.uts <= t + 86400 AND p.uts <> t WHERE artist <> '' AND NOT {_PAPER} GROUP BY ALL),
  k AS (SELECT *, row_number() OVER (PARTITION BY username, side ORDER BY n DESC, artist) AS k FROM a), g AS (SELECT username, string_agg(artist || ':' || n, '|' ORDER BY k) FILTER (side = 'b' AND k <= 5) AS db, string_agg(artist || ':' || n, '|' ORDER BY k) FILTER (side = 'a' AND k <= 5) AS da FROM k GROUP BY username)
  SELECT f.username, t AS first_uts, track AS first_track, album AS first_album, session_plays, coalesce(db, '') AS day_before, coalesce(da, '') AS day_after FROM f JOIN n USING (username) LEFT JOIN g USING (username)""",
+    "trend_taus": f"""WITH t AS ({CORE["taste_evolution"]}), l AS (SELECT username, year, 'plays' AS measure, CAST(plays AS DOUBLE) AS v FROM t UNION ALL SELECT username, year, 'artists', artists FROM t UNION ALL SELECT username, year, 'top10_pct', top10_pct FROM t),
+ s AS (SELECT x.username, x.measure, sum(sign(y.v - x.v)) AS s, count(*) AS n, count(*) FILTER (x.v = y.v) AS e FROM l x JOIN l y ON x.username = y.username AND x.measure = y.measure AND x.year < y.year GROUP BY ALL)
+ SELECT o.username, o.measure, round(coalesce(s / nullif(sqrt(n * (n - e)), 0), 0), 6) AS tau FROM (SELECT DISTINCT username, measure FROM l) o LEFT JOIN s USING (username, measure)""",
+    "random_pick": f"""WITH {P}, w AS (SELECT artist, count(*) AS plays, min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS years_active FROM p WHERE artist <> '' GROUP BY artist)
+ SELECT * FROM w ORDER BY -ln((CAST('0x' || substr(md5('7:' || artist), 1, 13) AS BIGINT) + 0.5) / 4503599627370496) / plays, artist LIMIT 20""",
+    "diversified": f"""WITH RECURSIVE {P}, {SONGS}, {FAM}, a AS (SELECT username, artist || ' - ' || album AS item, artist AS g, round(0.4 * coverage + 0.4 * depth + 0.2 * dispersion, 4) AS f FROM f),
+ b AS (SELECT *, min(f) OVER (PARTITION BY username) AS lo, max(f) OVER (PARTITION BY username) AS hi FROM a), sc AS (SELECT username, item, g, f, CASE WHEN hi > lo THEN (f - lo) / (hi - lo) ELSE 1.0 END AS rel FROM b),
+ r AS (SELECT DISTINCT username, 0 AS place, CAST(NULL AS VARCHAR) AS item, CAST([] AS VARCHAR[]) AS items, CAST([] AS VARCHAR[]) AS gs FROM sc UNION ALL
+ SELECT username, place, item, items, gs FROM (SELECT r.username, r.place + 1 AS place, sc.item, list_append(r.items, sc.item) AS items, list_append(r.gs, sc.g) AS gs,
+ row_number() OVER (PARTITION BY r.username ORDER BY 0.7 * rel + (1 - 0.7) * CASE WHEN list_contains(r.gs, sc.g) THEN 0 ELSE 1 END DESC, f DESC, sc.item) AS k FROM r JOIN sc ON sc.username = r.username WHERE r.place < 10 AND NOT list_contains(r.items, sc.item)) WHERE k = 1)
+ SELECT username, item, CAST(place AS BIGINT) AS place FROM r WHERE place > 0""",
 }

@@ -157,16 +157,6 @@ def _diverse(spark: SparkSession, d: str) -> DataFrame:
     return V.diversified(albums, BY, "item", "artist", "familiarity", 10)
 
 
-def _continuation(spark: SparkSession, d: str) -> DataFrame:
-    plays = _plays(spark, d)
-    nodes = G.session_nodes(plays, "username", 5)
-    links = V.weekly_pairs(plays, BY, 20)
-    both = links.select("a", "b", "cosine").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
-    near = both.select(F.lower("a").alias("a"), F.lower("b").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine")).withColumn("place", place)
-    return E.session_continuation(nodes, ["username", "session_start"], "node", near, 20)
-
-
 QUERIES = {
     "p3_found": p3_found,
     "p3_counts": p3_counts,
@@ -262,12 +252,12 @@ QUERIES = {
     "novelty": lambda s, d: E.novelty(_ranked_picks(s, d), ["year"], 20),
     "follow_through": lambda s, d: E.follow_through(_ranked_picks(s, d), ["year"], [1, 5, 10]),
     "gini_coverage": lambda s, d: E.coverage(K.keyed(_picks(s, d)).where("year IS NOT NULL"), ["year"], "a_key"),
-    "session_continuation": _continuation,
     "musical_bridges": _bridges,
     "similar_critics": _similar_critics,
     "fuzzy_match": _fuzzy,
     "eras": lambda s, d: R.eras(_plays(s, d), BY),
     "trends": lambda s, d: R.trends(_plays(s, d), BY),
+    "trend_taus": lambda s, d: R.trends(_plays(s, d), BY).drop("p_value"),
     "release_era_plays": _era_plays,
     "album_acclaim": _acclaim,
     "who_listed": lambda s, d: K.who_listed(_picks(s, d), "The Paper Estuaries"),

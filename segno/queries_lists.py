@@ -15,5 +15,6 @@ QUERIES = {
     "review_albums": lambda s, d: K.review_albums(_picks(s, d), _plays(s, d), 2, 3),
     "album_listings": lambda s, d: K.album_listings(_picks(s, d), _plays(s, d)),
     "artist_in_lists": lambda s, d: K.artist_in_lists(_picks(s, d), _plays(s, d), ARTIST),
+    "unheard_weighted": lambda s, d: K.unheard_weighted(_picks(s, d), _plays(s, d)),
     "champions": lambda s, d: K.champions(_picks(s, d), _plays(s, d), ARTIST),
 }
