@@ -47,6 +47,7 @@ MISREAD = """e o, e c, o c, o 0, a e, a o, a n, c e, n u, h b, b 6, b 8, b r, r
 n ri, m rn, m in, u ii, h li, d ci, d cl, w iv, w vv"""
 _CLASS = {ord(ch): group[0] for group in ALIKE for ch in group}
 _OTHER = re.compile(r"[\W_]+")
+_PAIR, _FIGURE = re.compile("|".join(pair for pair, _ in JOINED)), re.compile(r"\d")
 
 
 _MISREAD = {frozenset(p.split()) for p in MISREAD.replace("\n", " ").split(",")}
@@ -92,8 +93,11 @@ class Letters:
         own, self.at, self.inner, self.begins, size = [], [], set(), set(), 0
         for part in parts:
             for token in _OTHER.split(folded(part)):
-                self.at += [size + k for k in _placed(token)]
-                if any(c.isdigit() for c in token):
+                if _PAIR.search(token):
+                    self.at += [size + k for k in _placed(token)]
+                else:
+                    self.at += range(size, size + len(token))
+                if len(token) > 1 and _FIGURE.search(token):
                     self.inner.update(size + k for k in range(1, len(token)) if token[k].isdigit() and token[k - 1].isdigit())
                 own.append(token)
                 self.begins.add(size)
