@@ -6,7 +6,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segno.operators.ordered import Rows
@@ -29,28 +29,36 @@ def top_n(scored: DataFrame, groups: list[str], scores: list[str], item: str, n:
     columns = [*groups, *scores, item]
     rows = scored.where(F.col(item).isNotNull()).select(*columns)
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+    whole = {c for c in groups if rows.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")}
     low = -(2**63)
 
+    def entries(pdf: pd.DataFrame) -> Iterator[tuple[tuple, tuple]]:
+        """(group, entry): of two entries the greater is the better; nulls of numbers come as NaN."""
+        keys = [[None if v is None or v != v else int(v) if c in whole else v for v in pdf[c].tolist()] for c in groups]
+        marks = [[low if v is None or v != v else int(v) for v in pdf[c].tolist()] for c in scores]
+        return zip(zip(*keys, strict=True) if groups else [()] * len(pdf), zip(*marks, [-int(i) for i in pdf[item].tolist()], strict=True), strict=True)
+
+    def push(heap: list[tuple], entry: tuple) -> None:
+        if len(heap) < n:
+            heapq.heappush(heap, entry)
+        elif entry > heap[0]:
+            heapq.heapreplace(heap, entry)
+
+    def row(group: tuple, entry: tuple) -> tuple:
+        return (*group, *(None if s == low else s for s in entry[:-1]), -entry[-1])
+
     def heaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list[tuple]] = {}
         out = Rows(columns)
 
         def empty() -> None:
             for group, heap in held.items():
-                out.rows += [(*group, *(None if s == low else s for s in entry[:-1]), -entry[-1]) for entry in heap]
+                out.rows += [row(group, entry) for entry in heap]
             held.clear()
 
         for pdf in batches:
-            g = list(zip(*(pdf[c].tolist() for c in groups), strict=True)) if groups else [()] * len(pdf)
-            entries = zip(*([low if v is None or v != v else int(v) for v in pdf[c].tolist()] for c in scores), [-int(i) for i in pdf[item].tolist()], strict=True)
-            for group, entry in zip(g, entries, strict=True):
-                heap = held.get(group)
-                if heap is None:
-                    held[group] = [entry]
-                elif len(heap) < n:
-                    heapq.heappush(heap, entry)
-                elif entry > heap[0]:
-                    heapq.heapreplace(heap, entry)
+            for group, entry in entries(pdf):
+                push(held.setdefault(group, []), entry)
             if len(held) > HELD_GROUPS:
                 empty()
                 yield out.frame()
@@ -58,10 +66,30 @@ def top_n(scored: DataFrame, groups: list[str], scores: list[str], item: str, n:
         if out.rows:
             yield out.frame()
 
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Heaps of one group lie next to each other; only one is held."""
+        now, heap, out = None, [], Rows([*columns, "place"])
+
+        def finish() -> None:
+            out.rows += [(*row(now, entry), k) for k, entry in enumerate(sorted(heap, reverse=True), 1)]
+            heap.clear()
+
+        for pdf in batches:
+            for group, entry in entries(pdf):
+                if group != now:
+                    finish()
+                    now = group
+                push(heap, entry)
+            if out.full():
+                yield out.frame()
+        finish()
+        if out.rows:
+            yield out.frame()
+
     bounded = rows.mapInPandas(heaps, schema)
-    order = [*(F.col(s).desc_nulls_last() for s in scores), F.col(item).asc()]
-    placed = bounded.withColumn("place", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
-    return placed.where(F.col("place") <= n)
+    # a group's heaps, n rows from each task at most, come together
+    met = bounded.repartition(*groups).sortWithinPartitions(*groups) if groups else bounded.repartition(1)
+    return met.mapInPandas(merged, schema + ", place int")
 
 
 def monthly_artist_counts(plays: DataFrame, artists: DataFrame) -> DataFrame:

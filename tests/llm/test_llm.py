@@ -4,6 +4,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from segno.llm import runs as R
 from segno.llm.bpe import Transducer, Utf8Decoder, decode, encode_corpus, read_ranks
@@ -100,6 +101,10 @@ def test_top_n_against_brute_force(spark):
     want = sorted((str(g), k, i) for g, v in groups.items() for k, (_, _, i) in enumerate(sorted(v)[:5], 1))
     assert sorted((str(r.g), r.place, r.item) for r in top_n(df, ["g"], ["s1", "s2"], "item", 5).collect()) == want
     assert top_n(df.limit(0), ["g"], ["s1"], "item", 5).count() == 0
+    # whole numbers and null as groups; no group at all
+    by = df.where("g IS NOT NULL").withColumn("g", (df["item"] % 3).cast("int")).withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    assert sorted((str(r.g), r.place) for r in top_n(by, ["g"], ["s1", "s2"], "item", 2).collect()) == [("1", 1), ("1", 2), ("2", 1), ("2", 2), ("None", 1), ("None", 2)]
+    assert [(r.place, r.s1) for r in top_n(df.where("s1 IS NOT NULL"), [], ["s1"], "item", 2).collect()] == [(1, 3), (2, 3)]
 
 
 def test_top_artists_by_month(plays_of, artists_of):
