@@ -248,14 +248,18 @@ def _resume(a: str, i: int, b: str, j: int, lines: list[int]) -> tuple[int, int]
         back = lines[k] - j
         met = []
         for x in (0, 1, 2, 3):
-            key = a[i + x : i + x + NEAR_KEY]
-            to = b.find(key, j + 1) if len(key) == NEAR_KEY else -1
-            while to >= 0:
-                near = bisect.bisect_left(lines, to + back - x - 5, k + 1)
-                if near < len(lines) and lines[near] <= to + back - x + 5 and (lines[near] <= j + BREAK or _common(a, i + x, b, to) >= FAR_KEY):
-                    met.append((near, x, to))
+            # near lines by a short key, all others by a long one
+            for size, low, high in ((NEAR_KEY, j + 1, j + BREAK + 16), (FAR_KEY, j + BREAK - 16, len(b))):
+                key = a[i + x : i + x + size]
+                to = b.find(key, low, high + size) if len(key) == size else -1
+                while to >= 0:
+                    near = bisect.bisect_left(lines, to + back - x - 5, k + 1)
+                    if near < len(lines) and lines[near] <= to + back - x + 5 and (size == FAR_KEY or lines[near] <= j + BREAK):
+                        met.append((near, x, to))
+                        break
+                    to = b.find(key, to + 1, high + size)
+                if to >= 0:
                     break
-                to = b.find(key, to + 1)
         if met:
             _, x, to = min(met)
             return i + x, to
@@ -392,7 +396,9 @@ def carried(passage: Passage, page: Page, seeds: list[tuple[int, int]], least: i
     """
     most, done = 0, []
     text, size, length = passage.text, len(passage.text), len(page.text)
-    for i, j in seeds:
+    for i, j in sorted(seeds, key=lambda seed: seed[1]):
+        if done and done[0][2] < j - size - BREAK:  # too far back for this seed and all behind it
+            done = [d for d in done if d[2] >= j - size - BREAK]
         if any(low <= i < high and abs(j - i - shift) < BREAK for low, high, shift in done):
             continue
         around = page.text[max(0, j - 30) : j + PIECE + 30]
