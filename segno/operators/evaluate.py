@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segno.plans import with_facts
+from segno.operators.pairs import counted_pairs
+from segno.plans import durable, small_or_shuffled, with_facts
 
 
 def ndcg(ranked: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -48,19 +49,37 @@ def continuation(baskets: DataFrame, session: list[str], item: str, near: DataFr
     Every ordered pair of items of a session that have a neighbourhood in
     ``near`` (a, b, place) is a prediction of the one from the other; a target
     that isn't a neighbour has a reciprocal rank of 0.  Predictions are counted
-    from the sizes of sessions, so that only pairs of neighbours are joined.
+    from the sizes of sessions, and hits from the number of sessions that two
+    neighbours share.
     """
-    held = baskets.select(*session, F.col(item).alias("i")).distinct()
-    sized = held.withColumn("_n", F.count("*").over(Window.partitionBy(*session))).where(F.col("_n") >= least)
-    known = sized.join(near.select(F.col("a").alias("i")).distinct(), "i", "left_semi")
-    sizes = known.groupBy(*session).agg(F.count("*").alias("n")).where("n >= 2")
-    base = sizes.agg(F.count("*").alias("sessions"), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)).alias("predictions"))
-    seeds = known.join(sizes.select(*session), session, "left_semi")
-    guessed = seeds.select(*session, F.col("i").alias("a")).join(near.select("a", "b", "place"), "a").join(seeds.select(*session, F.col("i").alias("b")), [*session, "b"])
-    hit = guessed.agg(*[F.count_if(F.col("place") <= k).alias(f"hits_{k}") for k in ks], F.coalesce(F.sum(1 / F.col("place")), F.lit(0.0)).alias("_r"))
-    out = with_facts(base, hit)
+    return continuations(baskets, session, item, {"": near}, ks, least).drop("space")
+
+
+def continuations(baskets: DataFrame, session: list[str], item: str, spaces: dict[str, DataFrame], ks: tuple[int, ...] = (10, 20, 50), least: int = 3) -> DataFrame:
+    """``continuation`` in each of up to 31 spaces of neighbours, a row for each by its name, ``space``; sessions and their pairs are gone through once for all."""
+    near = None
+    for s, part in enumerate(spaces.values()):
+        part = part.select(F.lit(s).alias("s"), "a", "b", "place")
+        near = part if near is None else near.unionByName(part)
+    near = durable(near)
+    # a bit for each space that knows the item
+    known = durable(near.groupBy(F.col("a").alias("i")).agg(F.bit_or(F.expr("shiftleft(1, s)")).alias("in")))
+    knows = lambda bits, s: F.getbit(bits, s) == 1
+    of_space = lambda s: F.size(F.filter("l", lambda x: knows(x["in"], F.lit(s)))).cast("bigint")
+    held = baskets.dropna(subset=session).select(*session, F.col(item).alias("i")).join(small_or_shuffled(known), "i", "left")
+    lists = held.groupBy(*session).agg(F.collect_set(F.struct("i", F.coalesce("in", F.lit(0)).alias("in"))).alias("l")).where(F.size("l") >= least)
+    lists = durable(lists.select(F.filter("l", lambda x: x["in"] != 0).alias("l")).where("size(l) >= 2"))
+    sizes = lists.select(*[of_space(s).alias(f"n{s}") for s in range(len(spaces))])
+    base = sizes.agg(*[x for s in range(len(spaces)) for x in (F.count_if(F.col(f"n{s}") >= 2).alias(f"sessions{s}"), F.coalesce(F.sum(F.col(f"n{s}") * (F.col(f"n{s}") - 1)), F.lit(0)).alias(f"predictions{s}"))])
+    together = counted_pairs(lists.select(F.col("l.i").alias("l")), "l").withColumnsRenamed({"a": "x", "b": "y"})
+    told = near.join(small_or_shuffled(known.withColumnRenamed("i", "b")), "b").where(knows(F.col("in"), F.col("s")) & (F.col("a") != F.col("b")))
+    told = told.select("s", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "place").join(together, ["x", "y"])
+    of = lambda s, c: F.sum(F.when(F.col("s") == s, c))
+    hit = told.agg(*[F.coalesce(of(s, F.when(F.col("place") <= k, F.col("n"))), F.lit(0)).alias(f"hits_{k}_{s}") for s in range(len(spaces)) for k in ks], *[F.coalesce(of(s, F.col("n") / F.col("place")), F.lit(0.0)).alias(f"r{s}") for s in range(len(spaces))])
+    each = [F.struct(F.lit(name).alias("space"), F.col(f"sessions{s}").alias("sessions"), F.col(f"predictions{s}").alias("predictions"), *[F.col(f"hits_{k}_{s}").alias(f"hits_{k}") for k in ks], F.col(f"r{s}").alias("_r")) for s, name in enumerate(spaces)]
+    out = with_facts(base, hit).select(F.inline(F.array(*each)))
     rate = lambda c: F.round(F.coalesce(F.try_divide(c.cast("double"), F.col("predictions")), F.lit(0.0)), 6)
-    return out.select("sessions", "predictions", *[f"hits_{k}" for k in ks], *[rate(F.col(f"hits_{k}")).alias(f"rate_{k}") for k in ks], rate(F.col("_r")).alias("mrr"))
+    return out.select("space", "sessions", "predictions", *[f"hits_{k}" for k in ks], *[rate(F.col(f"hits_{k}")).alias(f"rate_{k}") for k in ks], rate(F.col("_r")).alias("mrr"))
 
 
 def holdout(before: DataFrame, after: DataFrame, near: DataFrame, seed_plays: int = 10, k: int = 20) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segno.operators.pairs import counted_pairs
-from segno.plans import durable
+from segno.plans import durable, small_or_shuffled
 
+#: Cells of counts that a task of ``window_neighbours`` holds.
+HELD_CELLS = 16_000_000
 #: Items up to which a spectral embedding takes all eigenvectors of a dense matrix; beyond, only the leading ones of a sparse one.
 MOST_ITEMS = 3000
 
@@ -218,6 +220,74 @@ def neighbours(pairs: DataFrame, weight: str, k: int) -> DataFrame:
     return best.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b")).cast("bigint")).where(F.col("place") <= k).select("a", "b", "place")
 
 
+def window_neighbours(plays: DataFrame, by: list[str], least: int, k: int, window: Column | None = None) -> DataFrame:
+    """(a, b, place): ``neighbours`` of ``weekly_pairs`` by cosine, without a row for any pair.
+
+    Artists are numbered in the order of their names, and a window is a list of
+    numbers.  A task counts the pairs of one block of artists: it gets the
+    lists that hold some of them, has all their partners, and gives out the
+    ``k`` best.  So shuffled are numbers of lists, never pairs; the driver holds
+    two numbers an artist of ``least`` plays.
+    """
+    spark = plays.sparkSession
+    rows = plays.where("artist <> ''").select(*by, "artist", (F.date_trunc("week", "ts") if window is None else window).alias("week"))
+    often = rows.groupBy("artist").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("artist", F.lower("artist").alias("name"))
+    number = lambda f, *o: (f.over(Window.orderBy(*o)) - 1).cast("int")
+    codes = durable(often.select("artist", "name", number(F.row_number(), "name", "artist").alias("code"), number(F.dense_rank(), "name").alias("low")))
+    low = codes.select("code", "low").toPandas().sort_values("code")["low"].to_numpy(dtype=np.int64)
+    n = len(low)
+    size = max(1, min(-(-n // (2 * spark.sparkContext.defaultParallelism)), HELD_CELLS // max(1, n)))
+    blocks = int(low[-1]) // size + 1 if n else 1
+
+    coded = rows.join(small_or_shuffled(codes.select("artist", F.struct("code", F.floor(F.col("low") / size).cast("int").alias("block")).alias("x"))), "artist")
+    lists = coded.groupBy(*by, "week").agg(F.collect_set("x").alias("x"))
+    lists = durable(lists.select(F.sort_array("x.code").alias("l"), F.array_distinct("x.block").alias("blocks")))
+    alone = np.zeros(n, dtype=np.int64)
+    counted = lists.select(F.explode("l").alias("code")).groupBy("code").agg(F.count("*").alias("c")).toPandas()
+    alone[counted["code"].to_numpy(dtype=np.int64)] = counted["c"].to_numpy(dtype=np.int64)
+    facts = spark.sparkContext.broadcast((low, alone))
+    met = lists.where("size(l) > 1").select(F.explode("blocks").alias("block"), "l").repartition(blocks, "block").sortWithinPartitions("block")
+
+    def search(batches):
+        low, alone = facts.value
+        firsts = np.flatnonzero(np.diff(low, prepend=-1))
+        now, lo, hi, counts = None, 0, 0, None
+
+        def best() -> pd.DataFrame:
+            found = []
+            for own in np.unique(low[lo:hi]):
+                at = np.arange(*np.searchsorted(low, [own, own + 1]))
+                n_ab = counts[at - lo]
+                # halves are rounded up, also those that binary fractions miss
+                w = np.floor(n_ab / np.sqrt((alone[at][:, None] * alone[None, :]).astype(np.float64)) * 1e6 + 0.5 + 1e-9)
+                w[n_ab == 0] = -1
+                w = np.maximum.reduceat(w.max(axis=0), firsts)
+                w[own] = -1
+                there = np.flatnonzero(w >= 0)
+                there = there[np.argsort(-w[there], kind="stable")][:k]
+                found.append(pd.DataFrame({"a": own, "b": there, "place": np.arange(1, len(there) + 1)}))
+            return pd.concat(found, ignore_index=True)
+
+        for pdf in batches:
+            for block, part in pdf.groupby("block", sort=True):
+                if block != now:
+                    if now is not None:
+                        yield best()
+                    now, (lo, hi) = block, np.searchsorted(low, [block * size, (block + 1) * size])
+                    counts = np.zeros((hi - lo, len(low)), dtype=np.int32)
+                for x in part["l"]:
+                    i, j = np.searchsorted(x, [lo, hi])
+                    counts[np.ix_(x[i:j] - lo, x)] += 1
+        if now is not None:
+            yield best()
+
+    found = met.mapInPandas(search, "a int, b int, place bigint")
+    names = small_or_shuffled(codes.select("low", "name").distinct())
+    for side in "ab":
+        found = found.join(names.select(F.col("low").alias(side), F.col("name").alias(f"{side}_name")), side)
+    return found.select(F.col("a_name").alias("a"), F.col("b_name").alias("b"), "place")
+
+
 def bridges(one: DataFrame, other: DataFrame) -> DataFrame:
     """(a, shared, only_one, only_other, jaccard): an item's neighbours in two spaces, of items that have some in both."""
     sets = one.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("x")).join(other.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("y")), "a")

@@ -68,20 +68,16 @@ def _sessions(spark: SparkSession, d: str) -> DataFrame:
     return durable(S.assign_sessions(_plays(spark, d), "username", "uts", 1800, "play_id").where("artist <> ''").select("username", "session_start", "ts", "artist"))
 
 
-def _continuation(rows: DataFrame, name: str, window: Column | None) -> DataFrame:
-    near = durable(V.neighbours(V.weekly_pairs(rows, BY, 20, window), "cosine", 100))
+def _continuations(spark: SparkSession, d: str, windows: dict[str, Column | None]) -> DataFrame:
+    rows = _sessions(spark, d)
+    spaces = {name: V.window_neighbours(rows, BY, 20, 100, window) for name, window in windows.items()}
     baskets = rows.select("username", "session_start", F.lower("artist").alias("node"))
-    return E.continuation(baskets, ["username", "session_start"], "node", near).select(F.lit(name).alias("granularity"), "*")
+    return E.continuations(baskets, ["username", "session_start"], "node", spaces).withColumnRenamed("space", "granularity")
 
 
 def _granularities(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours from weeks, days, months and sessions."""
-    windows = {"weekly": None, "daily": F.date_trunc("day", "ts"), "monthly": F.date_trunc("month", "ts"), "session30": F.col("session_start")}
-    rows, out = _sessions(spark, d), None
-    for name, window in windows.items():
-        part = _continuation(rows, name, window)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _continuations(spark, d, {"weekly": None, "daily": F.date_trunc("day", "ts"), "monthly": F.date_trunc("month", "ts"), "session30": F.col("session_start")})
 
 
 def _holdout(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +110,7 @@ QUERIES = {
     "similar_critics_given": _similar_critics,
     "critic_drift": _drift,
     "pick_weights": _pick_weights,
-    "continuation_weekly": lambda s, d: _continuation(_sessions(s, d), "weekly", None),
+    "continuation_weekly": lambda s, d: _continuations(s, d, {"weekly": None}),
     "continuation_granularities": _granularities,
     "holdout": _holdout,
     "follow_unheard": _follow_unheard,

@@ -85,6 +85,40 @@ def test_continuation(spark):
     assert (none.sessions, none.predictions, none.mrr) == (0, 0, 0.0)
 
 
+def test_window_neighbours(spark):
+    """As neighbours of pairs, with spellings of one name, halves in the seventh place and ties, in one block and in many; and spaces side by side."""
+    import random
+
+    rng = random.Random(4)
+    names = ["Ara", "ara", "ARA", "Bo", "bo", *[f"n{k}" for k in range(40)], "É", "z"]
+    rows = [(u, w, n) for u in "uv" for w in range(40) for n in rng.sample(names, rng.randint(1, 12))]
+    rows += [("x", w, n) for w in range(128) for n in ("one", "two")[: 1 if w else 2]] + [("y", w, "two") for w in range(127)]
+    rows += [("z", 0, "rare"), ("z", 0, "z")]
+    plays = spark.createDataFrame(rows * 2, "username string, w int, artist string")
+    want = V.neighbours(V.weekly_pairs(plays, ["username"], 3, F.col("w")), "cosine", 5)
+    in_order = lambda df: sorted(map(tuple, df.collect()))
+    assert in_order(V.window_neighbours(plays, ["username"], 3, 5, F.col("w"))) == in_order(want) != []
+    held, V.HELD_CELLS = V.HELD_CELLS, 1
+    try:
+        assert in_order(V.window_neighbours(plays, ["username"], 3, 5, F.col("w"))) == in_order(want)
+    finally:
+        V.HELD_CELLS = held
+    assert V.window_neighbours(plays.limit(0), ["username"], 3, 5, F.col("w")).collect() == []
+    baskets = plays.select("username", "w", F.lower("artist").alias("i"))
+    got = E.continuations(baskets, ["username", "w"], "i", {"all": want, "none": want.limit(0), "few": want.where("a < 'n3'")}).collect()
+    kept = {(r.a, r.b): r.place for r in want.collect()}
+    for r in got:
+        near = {k: p for k, p in kept.items() if r.space == "all" or r.space == "few" and k[0] < "n3"}
+        known = {a for a, _ in near}
+        lists = {}
+        for u, w, n in rows:
+            lists.setdefault((u, w), set()).add(n.lower())
+        each = [x & known for x in lists.values() if len(x) >= 3 and len(x & known) > 1]
+        places = [near[a, b] for x in each for a in x for b in x if (a, b) in near]
+        assert (r.sessions, r.predictions, r.hits_10) == (len(each), sum(len(x) * (len(x) - 1) for x in each), len(places))
+        assert r.mrr == pytest.approx(sum(1 / p for p in places) / max(1, r.predictions), abs=1e-6)
+
+
 def test_holdout_and_runs(spark, tmp_path):
     items = lambda *xs: spark.createDataFrame([(x,) for x in xs], "item string")
     near = spark.createDataFrame([("s", "n1", 1), ("s", "o", 2), ("t", "n2", 1), ("q", "r", 1)], "a string, b string, place int")
