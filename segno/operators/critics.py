@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pandas as pd
@@ -207,15 +208,67 @@ def rarest_bigrams(names: DataFrame, column: str, least: float) -> DataFrame:
     return first.groupBy(column).agg(F.collect_list("_g").alias("prefix"))
 
 
+def slips(n: int, m: int, least: float) -> int:
+    """Letters that two names of ``n`` and ``m`` letters may differ by, dropped and added ones, to be alike to ``least``; -1 if their lengths alone tell them apart."""
+    most = math.floor((1 - least / 100) * (n + m) + 1e-9)
+    most -= (most - n - m) % 2
+    return most if most >= abs(n - m) else -1
+
+
+def _lengths(n: int, least: float) -> list[int]:
+    r = least / 100
+    return [m for m in range(max(1, math.floor(n * r / (2 - r))), math.ceil(n * (2 - r) / r) + 1) if slips(n, m, least) >= 0]
+
+
+def _parts(n: int, parts: int) -> list[tuple[int, int]]:
+    ends = [n * k // parts for k in range(parts + 1)]
+    return list(zip(ends, ends[1:], strict=False))
+
+
+def own_parts(name: str, least: float) -> list[str]:
+    """The parts of a name, for each length of another: one more than letters may be dropped and added, so that one stays whole."""
+    n = len(name)
+    return [f"{n},{m},{a},{name[a:b]}" for m in _lengths(n, least) for a, b in _parts(n, slips(n, m, least) + 1)]
+
+
+def parts_of_others(name: str, least: float) -> list[str]:
+    """What ``own_parts`` of a name of any length may read if it is alike to this one: a part is moved only as far as letters before and after it leave slips for."""
+    m, out = len(name), set()
+    for n in _lengths(m, least):
+        t = slips(n, m, least)
+        for a, b in _parts(n, t + 1):
+            for moved in range(-((t - m + n) // 2), (t + m - n) // 2 + 1):
+                if 0 <= a + moved and b + moved <= m:
+                    out.add(f"{n},{m},{a},{name[a + moved : b + moved]}")
+    return sorted(out)
+
+
+def alike_names(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(x, y, alike): each of the names in the one column of ``asked`` with those of ``known`` that are alike to ``least``; exact."""
+
+    def keys(df: DataFrame, fn, to: str) -> DataFrame:
+        cut = F.pandas_udf(lambda s: s.map(lambda name: fn(name, least)), "array<string>")
+        names = df.select(F.col(df.columns[0]).alias(to)).distinct()
+        return names.select(to, F.explode(cut(to)).alias("_part")).select(to, F.xxhash64("_part").alias("_part"))
+
+    met = keys(asked, own_parts, "x").join(keys(known, parts_of_others, "y"), "_part").where(_within("x", "y", least)).select("x", "y").distinct()
+    return met.withColumn("alike", ratio_col(F.col("x"), F.col("y"))).where(F.col("alike") >= least)
+
+
+def _within(x: str, y: str, least: float) -> Column:
+    """What holds for names alike to ``least``: a letter exchanged costs one here and two there."""
+    both = F.length(x) + F.length(y)
+    return (F.least(F.length(x), F.length(y)) * 200 >= least * both) & (F.levenshtein(x, y) <= F.floor(both * (1 - least / 100) + 1e-9))
+
+
 def fuzzy_match(wanted: DataFrame, known: DataFrame, least: float = 85.0) -> DataFrame:
     """(a_key, t_key, known_a, known_t, score): for each wanted album the best known one of equal key, else with both names alike to ``least``.
 
     Alike means twice the common subsequence over all letters, in percent; the
     score weighs the title 0.7 and the artist 0.3, ties go by name.  Exact:
-    pairs that could be alike share one of the rarest bigrams of the title and
-    one of the artist's (``rarest_bigrams``), and meet by the two together, so
-    that neither an artist of many albums nor a common piece is one hot key.
-    Null and empty keys are matched with nothing.
+    artists that are alike share a part at nearly one place (``own_parts``);
+    then only titles of such artists are compared.  Null and empty keys are
+    matched with nothing.
     """
     filled = lambda df, a, t: df.where(f"{a} <> '' AND {t} <> ''")
     ask = filled(wanted.select("a_key", "t_key").distinct(), "a_key", "t_key")
@@ -223,18 +276,9 @@ def fuzzy_match(wanted: DataFrame, known: DataFrame, least: float = 85.0) -> Dat
     ask, have = durable(ask), durable(have)
     exact = ask.join(have, (F.col("a_key") == F.col("known_a")) & (F.col("t_key") == F.col("known_t"))).withColumn("score", F.lit(100.0))
     rest = durable(ask.join(have.select(F.col("known_a").alias("a_key"), F.col("known_t").alias("t_key")), ["a_key", "t_key"], "left_anti"))
-    titles = rarest_bigrams(rest.select(F.col("t_key").alias("t")).unionByName(have.select(F.col("known_t").alias("t"))), "t", least)
-    artists = rarest_bigrams(rest.select(F.col("a_key").alias("a")).unionByName(have.select(F.col("known_a").alias("a"))), "a", least)
-    titles, artists = durable(titles.withColumnRenamed("prefix", "tp")), durable(artists.withColumnRenamed("prefix", "ap"))
-
-    def keys(df: DataFrame, a: str, t: str) -> DataFrame:
-        both = df.join(titles, df[t] == titles["t"]).join(artists, df[a] == artists["a"]).select(a, t, "ap", F.explode("tp").alias("g"))
-        return both.select(a, t, "g", F.explode("ap").alias("h")).select(a, t, F.xxhash64("g", "h").alias("key"))
-
-    near = lambda x, y: (F.least(F.length(x), F.length(y)) * 200 >= least * (F.length(x) + F.length(y)))
-    met = keys(rest, "a_key", "t_key").join(keys(have, "known_a", "known_t"), "key").where(near("a_key", "known_a") & near("t_key", "known_t"))
-    pairs = met.select("a_key", "t_key", "known_a", "known_t").distinct()
-    scored = pairs.withColumn("st", ratio_col(F.col("t_key"), F.col("known_t"))).where(F.col("st") >= least).withColumn("sa", ratio_col(F.col("a_key"), F.col("known_a"))).where(F.col("sa") >= least)
+    artists = durable(alike_names(rest.select("a_key"), have.select("known_a"), least).withColumnsRenamed({"x": "a_key", "y": "known_a", "alike": "sa"}))
+    pairs = rest.join(artists, "a_key").join(have, "known_a").where(_within("t_key", "known_t", least))
+    scored = pairs.withColumn("st", ratio_col(F.col("t_key"), F.col("known_t"))).where(F.col("st") >= least)
     alike = scored.withColumn("score", 0.7 * F.col("st") + 0.3 * F.col("sa"))
     best = alike.withColumn("k", F.row_number().over(Window.partitionBy("a_key", "t_key").orderBy(F.desc("score"), "known_a", "known_t"))).where("k = 1")
     return exact.unionByName(best.select("a_key", "t_key", "known_a", "known_t", "score"))

@@ -369,3 +369,25 @@ def test_pages(spark):
     assert [(r.page_title, r["rank"], r.artist, r.title, r.album_url) for r in rows] == [("Ann's best of 2014", 1, "Ab & Cd", "The Tune", "/t"), ("Ann's best of 2014", 2, "Ef", "Other", None)]
     links = spark.createDataFrame([("http://x/lists/best-2014",), ("http://x/lists/",), ("http://x/about",)], "url string")
     assert [r.url for r in wanted_links(links, "http://x/lists/", ["best"]).collect()] == ["http://x/lists/best-2014"]
+
+
+def test_alike_names(spark):
+    """All names alike, also where a slip shifts every letter behind it."""
+    import random
+
+    from segno.functions.similarity import ratio
+
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcdefghé ") for _ in range(rng.randint(1, 24))) for _ in range(60)]
+    for name in names[:60]:
+        s = list(name)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randint(0, len(s) - 1) if s else 0
+            s[at : at + rng.randint(0, 1)] = [rng.choice("abé")] * rng.randint(0, 1)
+        names.append("".join(s) or "x")
+    of = lambda xs: spark.createDataFrame([(x,) for x in xs], "n string")
+    for least in (85.0, 75.0):
+        got = {(r.x, r.y) for r in K.alike_names(of(names[:80]), of(names[40:]), least).collect()}
+        assert got == {(x, y) for x in names[:80] for y in names[40:] if ratio(x, y) >= least}
+    with_albums = [(f"{''.join(rng.choice('abcdefghijkl') for _ in range(14))}", f"songs from {k}") for k in range(50)]
+    assert K.fuzzy_match(spark.createDataFrame(with_albums[:20], "a_key string, t_key string"), spark.createDataFrame(with_albums[20:], "a_key string, t_key string")).count() == 0
