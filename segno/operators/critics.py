@@ -251,7 +251,8 @@ def alike_names(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
         names = df.select(F.col(df.columns[0]).alias(to)).distinct()
         return names.select(to, F.explode(cut(to)).alias("_part")).select(to, F.xxhash64("_part").alias("_part"))
 
-    met = keys(asked, own_parts, "x").join(keys(known, parts_of_others, "y"), "_part").where(_within("x", "y", least)).select("x", "y").distinct()
+    # what parts there are is not known before they are cut: neither side may be broadcast
+    met = keys(asked, own_parts, "x").hint("merge").join(keys(known, parts_of_others, "y"), "_part").where(_within("x", "y", least)).select("x", "y").distinct()
     return met.withColumn("alike", ratio_col(F.col("x"), F.col("y"))).where(F.col("alike") >= least)
 
 
