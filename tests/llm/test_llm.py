@@ -175,6 +175,47 @@ def test_propagation_settles_rivals(spark):
     assert propagate(edges.limit(0), "l", "r").count() == 0
 
 
+def brute_beliefs(edges, near=1e-3):
+    """Marginals of all edges, every one of which goes round until all are settled."""
+    on, was, k = [1.0] * len(edges), [-1.0] * len(edges), 0
+    while True:
+        reach = [own * o + variant for (*_, own, variant), o in zip(edges, on)]
+        total, claims = Counter(), {}
+        for (left, *_), x in zip(edges, reach):
+            total[left] += x
+        for (left, right, spelling, own, _), o in zip(edges, on):
+            mine = claims.setdefault(right, {})
+            mine[spelling] = max(mine.get(spelling, 0.0), own / (1 + total[left] - own * o))
+        free = [1 / (1 + sum(claims[right].values()) - claims[right][spelling]) for _, right, spelling, *_ in edges]
+        now = [x / (1 + total[left]) for (left, *_), x in zip(edges, reach)]
+        if max(abs(a - b) for a, b in zip(now, was)) < near:
+            return {(left, right): c for (left, right, *_), c in zip(edges, now)}
+        on, was, k = (free if k < 8 else [(a + b) / 2 for a, b in zip(free, on)]), now, k + 1
+
+
+def test_only_contested_edges_go_round(spark, monkeypatch):
+    from segno.llm import entities
+
+    chain = [(f"m{i}", f"r{i + j}", f"s{i}", 8.0 + i, 4.0 * j) for i in range(4) for j in (0, 1)] + [("n", "r2", "s9", 24.0, 12.0)]
+    calm = [(f"c{i}", f"a{i // 3}", f"t{i % 6}", 180.0 if i % 3 else 24.0, 0.0 if i % 3 else 12.0) for i in range(60)] + [("d1", "a0", "t1", 180.0, 0.0)]
+    rows, real = [], entities.durable
+
+    def durable(df):
+        out = real(df)
+        if "_was" in out.columns:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(entities, "durable", durable)
+    edges = spark.createDataFrame(chain + calm, "l string, r string, spelling string, own double, variant double")
+    got = {(r.l, r.r): r.confidence for r in propagate(edges, "l", "r").collect()}
+    assert got == pytest.approx(brute_beliefs(chain + calm), abs=2e-3)
+    assert len(rows) > 1 and set(rows) == {len(chain)}
+    rows.clear()
+    got = {(r.l, r.r): r.confidence for r in propagate(edges.where("l LIKE 'c%' OR l LIKE 'd%'"), "l", "r").collect()}
+    assert got == pytest.approx(brute_beliefs(calm), abs=1e-9) and not rows
+
+
 def test_propagation_decides_between_albums(spark, artists_of, caplog):
     # a slip from either album; one of them is heard under its own name
     releases = spark.createDataFrame([(1, "Ab Cdef", "Keril Zage"), (2, "Ab Cdef", "Keril Zago")], "id bigint, artist_credit string, title string")
